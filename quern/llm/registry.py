@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, mixing
+from quern.llm import exact_dedup, line_dedup, mixing, secrets
 
 _MODULES = {
     "op6_mix_sources": mixing,
     "op7_exact_dedup": exact_dedup,
+    "op8_secret_scan": secrets,
+    "op9_line_dedup": line_dedup,
 }
 
 
