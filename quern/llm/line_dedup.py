@@ -74,7 +74,8 @@ def repeated_lines(docs: DataFrame, workspace: Workspace, run: int = RUN) -> Dat
 def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
     key = F.xxhash64(text_or_empty())
     right = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    return docs.join(right, docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
+    # A merge join at every size: whole texts are dealt out by id, and the plan doesn't turn over as the table grows.
+    return docs.join(right.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
 
 
 def _kept(text: Column) -> Column:
