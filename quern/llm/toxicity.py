@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence has a logistic score over its distinct words, the bag
+A document is a bag of sentences. A sentence has a logistic score over its distinct words
+and their beginnings, the bag
 is scored by noisy-or, 1 - prod(1 - p), and weights are trained from the documents' labels through
 that formula. The trained sentence scores then say where the offending sentences are.
 
@@ -15,6 +16,8 @@ from; rows that repeat get equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +31,9 @@ from quern.llm.arrow import text_chunks, texts_of
 from quern.llm.common import table
 
 MAX_PER_LABEL = 4_000
-MAX_WORDS = 4_000
+MAX_FEATURES = 4_000
+LEAST_Z = 4.0
+PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
 
@@ -49,15 +54,21 @@ def sentences(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split(b"\n")
 
 
+def word_features(word: bytes) -> list[int]:
+    """Hashes (XXH3, 64 bits) of a word and of its beginnings, which inflected forms share."""
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(word), *[digest(b"^" + word[:k]) for k in PREFIXES if len(word) > k]]
+
+
 @dataclass(frozen=True)
 class BagModel:
-    """Weights by word hash (XXH3, 64 bits)."""
+    """Weights by feature hash."""
 
     weights: dict[int, float]
     bias: float
 
     def scorer(self):
-        weights, digest = self.weights, xxhash.xxh3_64_intdigest
+        weights = self.weights
 
         class Cache(dict):
             """Weight of a word; emptied when it holds 400,000."""
@@ -65,7 +76,7 @@ class BagModel:
             def __missing__(self, word: bytes) -> float:
                 if len(self) >= 400_000:
                     self.clear()
-                self[word] = found = weights.get(digest(word), 0.0)
+                self[word] = found = sum(weights.get(f, 0.0) for f in word_features(word))
                 return found
 
         weight, bias = Cache().__getitem__, self.bias
@@ -77,44 +88,27 @@ class BagModel:
                 words = piece.split()
                 if words:
                     z = bias + sum(map(weight, set(words)))
-                    clean -= np.logaddexp(0.0, z) if z > -30 else 0.0
+                    clean -= max(z, 0.0) + math.log1p(math.exp(-abs(z)))
                     if z > worst[0] or worst[1] is None:
                         worst = (z, at, at + len(piece))
                 at += len(piece) + 1
             if worst[1] is None:
                 return 0.0, None, None, 0.0
-            return float(-np.expm1(clean)), worst[1], worst[2], float(1 / (1 + np.exp(-worst[0])))
+            return -math.expm1(clean), worst[1], worst[2], 0.5 * (1 + math.tanh(worst[0] / 2))
 
         return score
 
 
-def train_bags(docs: list[int], sents: np.ndarray, words: np.ndarray, doc_of: np.ndarray, y: np.ndarray, importance: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> BagModel:
-    """Fit by Adam on the noisy-or likelihood.
+def train_bags(doc_of: np.ndarray, sents: np.ndarray, features: np.ndarray, n_features: int, y: np.ndarray, importance: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias, fitted by Adam on the noisy-or likelihood.
 
-    doc_of: document of each sentence. sents, words: sentence and word hash of each distinct word in
-    a sentence. y, importance: label and weight of each document; docs: their numbers.
+    doc_of: document of each sentence. sents, features: sentence and number of each feature that a
+    distinct word of it has. y, importance: label and weight of each document.
     """
-    n_docs = len(docs)
-    if y.min(initial=1) == y.max(initial=0):
-        return BagModel({}, -np.inf)
-    vocabulary, ids = np.unique(words, return_inverse=True)
-    pairs = np.unique(ids.astype(np.int64) * n_docs + doc_of[sents])
-    in_doc, of_doc = pairs // n_docs, pairs % n_docs
-    pos = np.bincount(in_doc, weights=(y[of_doc] == 1) * 1.0, minlength=len(vocabulary))
-    every = np.bincount(in_doc, minlength=len(vocabulary))
-    share = y.mean()
-    excess = (pos - every * share) / np.sqrt(every * share * (1 - share) + 1e-9)
-    chosen = np.flatnonzero(every >= 3)
-    chosen = np.sort(chosen[np.argsort(-np.abs(excess[chosen]), kind="stable")][:MAX_WORDS])
-    slot = np.full(len(vocabulary), -1)
-    slot[chosen] = np.arange(len(chosen))
-    kept = slot[ids] >= 0
-    sents, features = sents[kept], slot[ids][kept]
-    n_sents, n_features = len(doc_of), len(chosen)
-    prior = float((importance * y).sum() / importance.sum())
+    n_docs, n_sents, total = len(y), len(doc_of), importance.sum()
+    prior = float((importance * y).sum() / total)
     weights, bias = np.zeros(n_features), float(np.log(max(prior, 1e-4) * n_docs / n_sents))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    total = importance.sum()
     for step in range(1, steps + 1):
         z = bias + np.bincount(sents, weights=weights[features], minlength=n_sents)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -126,7 +120,7 @@ def train_bags(docs: list[int], sents: np.ndarray, words: np.ndarray, doc_of: np
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - float(move[-1])
-    return BagModel({int(h): float(w) for h, w in zip(vocabulary[chosen], weights, strict=True) if abs(w) > 1e-6}, bias)
+    return weights, bias
 
 
 def fold(id_column: str = "doc_id") -> Column:
@@ -143,29 +137,60 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     sample = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "toxic")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select(F.xxhash64("doc_id").alias("order"), "toxic", "text")
 
+    known_features = _telling_features(chosen, kind := labels.schema["toxic"].dataType.simpleString())
+    if not known_features or len(shares) < 2:
+        return BagModel({}, -math.inf)
+    number = {f: i for i, f in enumerate(known_features)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for chunk in text_chunks(batches):
             bags, sizes = [], []
             for text in texts_of(chunk):
-                own = [{digest(w) for w in piece.split()} for piece in sentences(text)]
-                own = [sorted(s) for s in own if s]
+                own = [set(words) for piece in sentences(text) if (words := piece.split())]
+                own = [sorted(number[f] for w in s for f in word_features(w) if f in number) for s in own]
                 sizes.append(np.array([len(s) for s in own], "<u4").tobytes())
-                bags.append(np.array([x for s in own for x in s], "<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([chunk.column("order"), chunk.column("toxic"), pa.array(bags, pa.binary()), pa.array(sizes, pa.binary())], ["order", "toxic", "words", "sizes"])
-
-    kind = labels.schema["toxic"].dataType.simpleString()
-    rows = chosen.mapInArrow(run, f"order long, toxic {kind}, words binary, sizes binary").toPandas()
-    rows = rows[rows["sizes"].map(len) > 0].sort_values(["order", "toxic", "sizes", "words"], kind="stable")
-    if not len(rows):
-        return BagModel({}, -np.inf)
+                bags.append(np.array([x for s in own for x in s], "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([chunk.column("order"), chunk.column("toxic"), pa.array(bags, pa.binary()), pa.array(sizes, pa.binary())], ["order", "toxic", "features", "sizes"])
+
+    rows = chosen.mapInArrow(run, f"order long, toxic {kind}, features binary, sizes binary").toPandas()
+    rows = rows[rows["sizes"].map(len) > 0].sort_values(["order", "toxic", "sizes", "features"], kind="stable")
     sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["sizes"]]
     flat = np.concatenate(sizes)
     y = rows["toxic"].to_numpy(int)
     drawn = np.bincount(y, minlength=2)
     importance = np.array([shares.get(k, 0) / max(drawn[k], 1) for k in (0, 1)])[y]
-    words = np.frombuffer(b"".join(rows["words"]), "<u8")
-    return train_bags(list(range(len(rows))), np.repeat(np.arange(len(flat)), flat), words, np.repeat(np.arange(len(rows)), [len(s) for s in sizes]), y, importance)
+    features = np.frombuffer(b"".join(rows["features"]), "<u4").astype(np.int64)
+    doc_of = np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
+    weights, bias = train_bags(doc_of, np.repeat(np.arange(len(flat)), flat), features, len(number), y, importance)
+    return BagModel({f: float(w) for f, w in zip(known_features, weights, strict=True) if abs(w) > 1e-6}, bias)
+
+
+def _telling_features(sample: DataFrame, kind: str) -> list[int]:
+    """Hashes of the MAX_FEATURES features that are most over-represented in documents of label 1, by z score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())  # of this task's share of the sample, which is bounded
+        for chunk in text_chunks(batches):
+            for label, text in zip(chunk.column("toxic").to_pylist(), texts_of(chunk), strict=True):
+                words = {w for piece in sentences(text) for w in piece.split()}
+                counts[label].update({f for w in words for f in word_features(w)})
+                counts[label][0] += 1
+        every = list(counts[0] | counts[1])
+        signed = np.array(every, np.uint64).view(np.int64)
+        columns = [pa.array(signed), *[pa.array([c[f] for f in every], pa.int64()) for c in counts]]
+        yield pa.RecordBatch.from_arrays(columns, ["feature", "n0", "n1"])
+
+    counted = sample.select("toxic", "text").mapInArrow(run, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = counted.where("n0 + n1 >= 3").persist()
+    sizes = counted.where("feature = 0").first()
+    if sizes is None or not sizes["n0"] or not sizes["n1"]:
+        return []
+    share = sizes["n1"] / (sizes["n0"] + sizes["n1"])
+    n = F.col("n0") + F.col("n1")
+    z = (F.col("n1") - n * share) / F.sqrt(n * (share * (1 - share)))
+    found = counted.where("feature != 0").select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    counted.unpersist()
+    return [r["feature"] % (1 << 64) for r in found]
 
 
 def score_documents(docs: DataFrame, model: BagModel) -> DataFrame:
