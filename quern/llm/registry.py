@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, exact_dedup, line_dedup, mixing, quality, secrets, simhash, toxicity
+from quern.llm import bpe, exact_dedup, line_dedup, mixing, quality, secrets, simhash, toxicity, warc
 
 _MODULES = {
     "op1_byte_bpe": bpe,
@@ -13,6 +13,7 @@ _MODULES = {
     "op7_exact_dedup": exact_dedup,
     "op8_secret_scan": secrets,
     "op9_line_dedup": line_dedup,
+    "op10_warc": warc,
 }
 
 
