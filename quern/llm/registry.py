@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, exact_dedup, line_dedup, mixing, quality, secrets, simhash, toxicity, warc
+from quern.llm import bpe, exact_dedup, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, toxicity, warc
 
 _MODULES = {
     "op1_byte_bpe": bpe,
     "op2_quality_rules": quality,
     "op3_simhash": simhash,
+    "op4_suffix_dedup": suffix_dedup,
     "op5_toxicity": toxicity,
     "op6_mix_sources": mixing,
     "op7_exact_dedup": exact_dedup,

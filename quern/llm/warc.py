@@ -261,7 +261,9 @@ class WarcStore:
         parts = sorted((r["first_key"], r["first_id"], r["file"]) for r in self.parts.collect())
         archives, index = self.archives, self.index
         asked = wanted.select("url_key", F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id")).distinct()
-        asked = asked.repartitionByRange("url_key", "id").sortWithinPartitions("url_key", "id")
+        # A stated number of tasks: their rows are short, but each stands for a read.
+        n_tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = asked.repartitionByRange(n_tasks, "url_key", "id").sortWithinPartitions("url_key", "id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader = CaptureReader(archives, index, parts)
