@@ -70,7 +70,8 @@ def statistics(text: bytes) -> tuple[int, ...]:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with a struct column __stats; docs has a column text and any others."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(F.lit(0).alias("__"), *[docs[c] for c in rest]).alias("__row"), docs["text"].alias("__text"))
     row_type = row.schema["__row"].dataType.simpleString()
     names = BASE + EXTRA
 
@@ -78,10 +79,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for chunk in text_chunks(batches, "__text"):
             columns = list(zip(*map(statistics, texts_of(chunk, "__text")), strict=True))
             stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
-            yield pa.RecordBatch.from_arrays([chunk.column("__row"), stats], ["__row", "__stats"])
+            yield pa.RecordBatch.from_arrays([chunk.column("__row"), chunk.column("__text"), stats], ["__row", "__text", "__stats"])
 
-    found = row.mapInArrow(run, f"__row {row_type}, __stats struct<{','.join(f'{n}:bigint' for n in names)}>")
-    return found.select("__row.*", "__stats")
+    found = row.mapInArrow(run, f"__row {row_type}, __text string, __stats struct<{','.join(f'{n}:bigint' for n in names)}>")
+    columns = [F.col("__text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns]
+    return found.select(*columns, "__stats")
 
 
 def features(stats: str = "__stats") -> dict[str, Column]:
@@ -235,8 +237,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass the base and every rule; their columns as they were."""
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__whole"), "doc_id", "text")
-    return judge(inner, labels).where("kept").select("__whole.*")
+    rules = learn_rules(docs, labels)
+    return with_statistics(docs).where(~base_failed() & rejecting_rule(rules).isNull()).drop("__stats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
