@@ -12,7 +12,9 @@ that its windows cover. Three steps find all repeated windows:
    digest, so that one hot suffix spreads over several. A bucket sorts its suffixes by multikey
    quicksort; neighbours' common prefixes say which windows can repeat, and windows are compared
    by 128-bit digests. The first and the last group of a bucket may go on next door: their windows
-   are compared across the boundaries, by an aggregation over all buckets.
+   are compared across the boundaries, by aggregations over all buckets. STRIPE windows with
+   neighbouring offsets have a core in common, so cores are compared first, and windows only
+   where another bucket has the core.
 
 Spans go back to the documents by id. Nothing is capped, and strings are judged on the input.
 
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,7 @@ from quern.llm.common import Workspace, table, text_or_empty
 
 SPAN, GRAM, HALF = 400, 32, 200
 BUCKET_ROWS = 2_000
+STRIPE = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -166,11 +170,11 @@ def common_prefixes(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_repeats(blocks: list[bytes], offs: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, bytes]]]:
+def bucket_repeats(blocks: list[bytes], offs: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, bytes, list[int], list[bytes]]]]:
     """Repeated windows inside a bucket, and the windows to compare with other buckets.
 
-    The former as (row, first window, last window), the latter as (row, window, digest), one for
-    each digest. Rows have distinct blocks.
+    The former as (row, first window, last window), the latter by stripe as (row, digest of the
+    core, windows, their digests), where each digest of a window comes once. Rows have distinct blocks.
     """
     suffixes = [b[o : o + SPAN] for b, o in zip(blocks, offs, strict=True)]
     sizes = np.array([len(s) for s in suffixes], np.int64)
@@ -205,7 +209,14 @@ def bucket_repeats(blocks: list[bytes], offs: list[int]) -> tuple[list[tuple[int
             begins = np.append(0, ends[:-1] + 1)
             runs += [(row, int(own[i]), int(own[j])) for i, j in zip(begins, ends, strict=True)]
         if edge:
-            outside += [(row, s, found) for found, (row, s) in holder.items()]
+            stripes: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
+            for found, (row, s) in holder.items():
+                places, windows = stripes.setdefault((row, (offs[row] - s) // STRIPE), ([], []))
+                places.append(s)
+                windows.append(found)
+            for (row, stripe), held in stripes.items():
+                core = offs[row] - stripe * STRIPE
+                outside.append((row, digest(blocks[row][core : core + SPAN - STRIPE + 1]), *held))
     return runs, outside
 
 
@@ -239,16 +250,25 @@ def repeated_spans(docs: DataFrame, workspace: Workspace, span_bucket: int = BUC
         workspace.drop(name)
     _settle(spark)
     found = workspace.materialise(sort_buckets(blocks, -(-blocks.count() // span_bucket) or 1), "found")
-    local = found.where("window is null").select("doc_id", "key", "start", "end")
-    edge = found.where("window is not null")
-    both = edge.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    across = edge.join(workspace.materialise(both, "both").hint("merge"), "window").select("doc_id", "key", "start", "end")
+    local = found.where("core is null").select("doc_id", "key", "start", "end")
+    edge = found.where("core is not null")
+    cores = workspace.materialise(_in_several_buckets(edge, "core"), "cores")
+    held = edge.join(cores.hint("merge"), "core").select("doc_id", "key", "start", "bucket", F.explode(F.arrays_zip("places", "windows")).alias("w"))
+    held = held.select("doc_id", "key", (F.col("start") + F.col("w.places")).alias("start"), F.col("w.windows").alias("window"), "bucket")
+    held = workspace.materialise(held, "held")
+    both = workspace.materialise(_in_several_buckets(held, "window"), "both")
+    across = held.join(both.hint("merge"), "window").select("doc_id", "key", "start", (F.col("start") + SPAN).alias("end"))
     spans = whole.unionByName(local).unionByName(across).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = workspace.materialise(spans, "spans")
     _settle(spark)
     return spans
 
 
+def _in_several_buckets(rows: DataFrame, digest: str) -> DataFrame:
+    met = rows.groupBy(digest).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    return met.where("low != high").select(digest)
+
+
 def _beside(docs: DataFrame, other: DataFrame, keep: str) -> DataFrame:
     """doc_id, key, text and a column of other, joined by id and text; a merge join at every size."""
     right = other.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col(keep))
@@ -275,7 +295,7 @@ def cut_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sort_buckets(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """doc_id, key, start, end of repeated windows; with window set, single windows to compare across buckets."""
+    """doc_id, key, start, end of repeated windows; where core is set, windows from start on to compare across buckets."""
     lead = blocks.withColumn("lead", F.expr("substring(block, off + 1, 64)"))
     dealt = lead.repartitionByRange(n_buckets, "lead", "digest").drop("lead")
 
@@ -286,17 +306,20 @@ def sort_buckets(blocks: DataFrame, n_buckets: int) -> DataFrame:
         rows = pa.Table.from_batches(bucket)
         low = rows.column("low").to_numpy()
         runs, outside = bucket_repeats(rows.column("block").to_pylist(), rows.column("off").to_pylist())
-        found = [(r, a, b, None) for r, a, b in runs] + [(r, s, s, w) for r, s, w in outside]
-        for start in range(0, len(found), 100_000):
-            at, first, last, window = zip(*found[start : start + 100_000], strict=True)
+        number = TaskContext.get().partitionId()
+        found = [(r, a, b + SPAN, None, None, None) for r, a, b in runs] + [(r, 0, 0, *rest) for r, *rest in outside]
+        for start in range(0, len(found), 10_000):
+            at, first, last, core, places, windows = zip(*found[start : start + 10_000], strict=True)
             base = low[list(at)]
             index = pa.array(at, pa.int64())
             columns = [rows.column(c).take(index).combine_chunks() for c in ("doc_id", "key")]
-            columns += [pa.array(base + np.array(first)), pa.array(base + np.array(last) + SPAN), pa.array(window, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "start", "end", "window"])
+            columns += [pa.array(base + np.array(first)), pa.array(base + np.array(last)), pa.array([number] * len(at), pa.int32())]
+            columns += [pa.array(core, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "start", "end", "bucket", "core", "places", "windows"])
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"doc_id {kind}, key long, start long, end long, window binary")
+    schema = f"doc_id {kind}, key long, start long, end long, bucket int, core binary, places array<int>, windows array<binary>"
+    return dealt.mapInArrow(run, schema)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
