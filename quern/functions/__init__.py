@@ -1 +1 @@
-
+"""Column expressions: vectors and codecs."""

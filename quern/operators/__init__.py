@@ -1 +1 @@
-
+"""Graph operators, layers, training and metrics."""

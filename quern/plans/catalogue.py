@@ -1,11 +1,548 @@
-"""Registered graph queries and their SQL counterparts."""
+"""Registered graph queries, each beside the SQL that says the same."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.functions import codecs, vectors
+from quern.graph import reverse_edges
+from quern.operators import generate, metrics, neural, structure, train
+from quern.operators.propagate import (
+    aggregate_messages,
+    assemble,
+    backward_edge_grads,
+    backward_forward,
+    backward_reverse,
+    collect_neighbours,
+    gather,
+    gather_rows,
+    sparse_sum,
+    sum_gathered,
+    update_vertices,
+    weighted_sum,
+)
+from quern.plans import fixture as fx
+from quern.sources import readers, writers
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def put(fn):
+        _QUERIES[name] = fn
+        if sql:
+            _SQL[name] = sql
+        return fn
+
+    return put
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """(id, pos, val) with steady numbers: no minus zero, no noise in the last digits."""
+    return rows.select("id", F.col("pos").cast("int").alias("pos"), (F.round("val", digits) + 0.0).alias("val"))
+
+
+def spread(rows: DataFrame, column: str = "vec") -> DataFrame:
+    return rows.select("id", F.posexplode(column).alias("pos", "val"))
+
+
+def sql_sum(w: str = "w", x: str = "x", at: str = "src", to: str = "dst") -> str:
+    return f"SELECT {w}.{to} AS id, {x}.pos AS pos, round(sum({w}.weight * {x}.val), 6) + 0.0 AS val FROM {w} JOIN {x} ON {x}.id = {w}.{at} GROUP BY 1, 2"
+
+
+# Structure -------------------------------------------------------------------------------------
+
+
+@register("degrees", f"WITH {fx.V}, {fx.E0}, {fx.E}, {fx.DEG} SELECT v.id, greatest(coalesce(ind.d, 0), 1) AS in_deg, greatest(coalesce(od.d, 0), 1) AS out_deg FROM v LEFT JOIN ind USING (id) LEFT JOIN od ON od.id = v.id")
+def degrees(spark, d):
+    v = fx.vertices(spark, d)
+    return structure.degrees(v, structure.add_self_loops(fx.edges(spark, d), v))
+
+
+@register("degrees_multigraph", "WITH s AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), v AS (SELECT src AS id FROM s UNION SELECT dst FROM s) SELECT v.id, coalesce(i.n, 0) AS in_deg, coalesce(o.n, 0) AS out_deg FROM v LEFT JOIN (SELECT dst AS id, count(*) AS n FROM s GROUP BY 1) i USING (id) LEFT JOIN (SELECT src AS id, count(*) AS n FROM s GROUP BY 1) o USING (id)")
+def degrees_multigraph(spark, d):
+    e = fx.supply(spark, d)
+    v = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return structure.degrees(v, e, clamp=False)
+
+
+@register("labelled_degrees", f"WITH {fx.V}, {fx.E0} SELECT e0.dst AS id, sum(CASE WHEN v.label < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS labelled_deg FROM e0 JOIN v ON v.id = e0.src GROUP BY 1")
+def labelled_degrees(spark, d):
+    v = fx.vertices(spark, d).withColumn("labeled", F.when(F.col("label") < 5, 1.0).otherwise(0.0))
+    return structure.labelled_degrees(v, fx.edges(spark, d))
+
+
+@register("edges_reverse", f"WITH {fx.E0} SELECT dst AS src, src AS dst FROM e0")
+def edges_reverse(spark, d):
+    return reverse_edges(fx.edges(spark, d))
+
+
+@register("edges_undirected", f"WITH {fx.E0} SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0")
+def edges_undirected(spark, d):
+    return structure.undirected(fx.edges(spark, d))
+
+
+@register("edges_self_loop", f"WITH {fx.V}, {fx.E0}, {fx.E} SELECT src, dst, count(*) AS n FROM e GROUP BY 1, 2")
+def edges_self_loop(spark, d):
+    return structure.add_self_loops(fx.edges(spark, d), fx.vertices(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _norm(norm: str, convention: str = "forward"):
+    sql = f"{fx.weighted(norm, convention == 'reverse')} SELECT src, dst, round(weight, 10) AS weight FROM w"
+
+    @register(f"norm_{norm}" + "_reverse" * (convention == "reverse"), sql)
+    def run(spark, d):
+        return fx.graph(spark, d, norm, convention).edges.select("src", "dst", F.round("weight", 10).alias("weight"))
+
+
+for _n in structure.NORMS:
+    _norm(_n)
+_norm("symmetric", "reverse")
+
+
+@register("khop_in", f"WITH {fx.E0}, h0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 97 = 0), h1 AS (SELECT src AS id FROM e0 JOIN h0 ON e0.dst = h0.id), h2 AS (SELECT src AS id FROM e0 JOIN (SELECT DISTINCT id FROM h1) h ON e0.dst = h.id), a AS (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) SELECT id, min(hop)::INT AS hop FROM a GROUP BY 1")
+def khop_in(spark, d):
+    return structure.khop_in(fx.edges(spark, d), fx.vertices(spark, d).where("id % 97 = 0"), 2)
+
+
+@register("khop_subgraph", f"WITH {fx.E0}, h0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 97 = 0), h1 AS (SELECT src AS id FROM e0 JOIN h0 ON e0.dst = h0.id), h AS (SELECT id FROM h0 UNION SELECT id FROM h1) SELECT src, dst FROM e0 WHERE dst IN (SELECT id FROM h)")
+def khop_subgraph(spark, d):
+    return structure.khop_subgraph(fx.edges(spark, d), fx.vertices(spark, d).where("id % 97 = 0"), 2).select("src", "dst")
+
+
+_SPLIT_SQL = "CASE WHEN id % 10 < 8 THEN 0 WHEN id % 10 = 8 THEN 1 ELSE 2 END"
+
+
+@register("split_masks", f"WITH {fx.V}, s AS (SELECT id, {_SPLIT_SQL} AS s FROM v) SELECT id, s::INT AS all_mask, (s = 0)::INT AS train_mask, (s = 1)::INT AS valid_mask, (s = 2)::INT AS test_mask, 1.0::DOUBLE AS labeled FROM s")
+def split_masks(spark, d):
+    return structure.split_masks(fx.vertices(spark, d), fx.split_number())
+
+
+@register("random_split_hash", f"WITH {fx.V} SELECT id, CASE WHEN ((id % 1000003) * 7919) % 10 < 9 THEN 0 ELSE 2 END::INT AS split FROM v")
+def random_split_hash(spark, d):
+    return fx.vertices(spark, d).select("id", structure.hash_split(F.col("id")).alias("split"))
+
+
+@register("random_split_seeded")
+def random_split_seeded(spark, d):
+    return fx.vertices(spark, d).select("id", structure.seeded_split(0.9, 2021).alias("split"))
+
+
+_PID_SQL = {
+    "1d": "((src % 1000003) * 7919) % 16",
+    "2d": "(((src % 1000003) * 7919) % 4) * 4 + ((dst % 1000003) * 7919) % 4",
+    "random": "((src % 1000003) * 7919 + (dst % 1000003) * 104729) % 16",
+    "canonical": "((least(src, dst) % 1000003) * 7919 + (greatest(src, dst) % 1000003) * 104729) % 16",
+}
+
+
+def _replication(strategy: str):
+    sql = f"WITH s AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), p AS (SELECT {_PID_SQL[strategy]} AS pid, src, dst FROM s), b AS (SELECT pid, src AS vid, 's' AS e FROM p UNION ALL SELECT pid, dst, 'd' FROM p), g AS (SELECT vid, count(DISTINCT pid) AS n, count(DISTINCT CASE WHEN e = 's' THEN pid END) AS ns, count(DISTINCT CASE WHEN e = 'd' THEN pid END) AS nd FROM b GROUP BY vid) SELECT round(avg(n), 9) AS rf_all, round(avg(CASE WHEN ns > 0 THEN ns END), 9) AS rf_src, round(avg(CASE WHEN nd > 0 THEN nd END), 9) AS rf_dst FROM g"
+
+    @register(f"replication_{strategy}", sql)
+    def run(spark, d):
+        found = structure.replication_factor(fx.supply(spark, d), structure.partition_id(strategy, 16))
+        return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+for _s in structure.STRATEGIES:
+    _replication(_s)
+
+
+@register("replication_physical")
+def replication_physical(spark, d):
+    placed = structure.place_edges(fx.supply(spark, d), 16).withColumn("pid", F.spark_partition_id())
+    return structure.replication_factor(placed, F.col("pid"))
+
+
+# Messages --------------------------------------------------------------------------------------
+
+
+@register("propagate_dense", f"{fx.weighted()} {sql_sum()}")
+def propagate_dense(spark, d):
+    g = fx.graph(spark, d)
+    return rounded(weighted_sum(g.edges, g.vertices))
+
+
+@register("propagate_wide", f"{fx.weighted()} {sql_sum()}")
+def propagate_wide(spark, d):
+    g = fx.graph(spark, d)
+    return rounded(spread(weighted_sum(g.edges, g.vertices, plan="wide", width=64)))
+
+
+@register("propagate_summarizer", f"{fx.weighted()} {sql_sum()}")
+def propagate_summarizer(spark, d):
+    g = fx.graph(spark, d)
+    return rounded(spread(weighted_sum(g.edges, g.vertices, plan="summarizer")))
+
+
+@register("propagate_layer2", f"{fx.weighted()}, y AS (SELECT w.dst AS id, x.pos, sum(w.weight * x.val) AS val FROM w JOIN x ON x.id = w.src GROUP BY 1, 2) {sql_sum(x='y')}")
+def propagate_layer2(spark, d):
+    g = fx.graph(spark, d)
+    first = assemble(weighted_sum(g.edges, g.vertices), "emb")
+    return rounded(weighted_sum(g.edges, first, "emb"))
+
+
+@register("propagate_sparse", f"{fx.weighted()}, y AS (SELECT id, pos, val FROM x WHERE val > 0.05) {sql_sum(x='y')}")
+def propagate_sparse(spark, d):
+    g = fx.graph(spark, d)
+    cut = F.transform("feat", lambda x: F.when(x > 0.05, x).otherwise(0.0))
+    sparse = g.vertices.select("id", vectors.to_sparse(cut).alias("s")).select("id", "s.*")
+    return rounded(sparse_sum(g.edges, sparse))
+
+
+@register("gather_neighbors", f"{fx.weighted()} SELECT w.dst AS id, w.src AS u, x.pos, round(w.weight * x.val, 8) + 0.0 AS val FROM w JOIN x ON x.id = w.src WHERE x.pos < 4")
+def gather_neighbors(spark, d):
+    g = fx.graph(spark, d)
+    rows = gather(g.edges, g.vertices).select("id", F.explode("nbrs").alias("n")).select("id", "n.u", F.posexplode(F.slice("n.vec", 1, 4)).alias("pos", "val"))
+    return rows.select("id", "u", "pos", (F.round("val", 8) + 0.0).alias("val"))
+
+
+@register("gather_unweighted", f"WITH {fx.V}, {fx.E0}, {fx.X} SELECT e0.dst AS id, e0.src AS u, x.pos, round(x.val, 8) + 0.0 AS val FROM e0 JOIN x ON x.id = e0.src WHERE x.pos < 4")
+def gather_unweighted(spark, d):
+    rows = gather_rows(fx.edges(spark, d), fx.vertices(spark, d), weighted=False)
+    return rows.select("id", "u", F.posexplode(F.slice("vec", 1, 4)).alias("pos", "v")).select("id", "u", "pos", (F.round("v", 8) + 0.0).alias("val"))
+
+
+@register("gather_then_sum", f"{fx.weighted()} {sql_sum()}")
+def gather_then_sum(spark, d):
+    g = fx.graph(spark, d)
+    return rounded(sum_gathered(gather(g.edges, g.vertices)))
+
+
+def _collect(direction: str):
+    near, far = ("dst", "src") if direction == "in" else ("src", "dst")
+
+    @register(f"collect_neighbors_{direction}", f"WITH {fx.V}, {fx.E0} SELECT e0.{near} AS id, v.id AS u, v.label FROM e0 JOIN v ON v.id = e0.{far}")
+    def run(spark, d):
+        found = collect_neighbours(fx.edges(spark, d), fx.vertices(spark, d).select("id", "label"), direction)
+        return found.select("id", F.explode("nbrs").alias("n")).select("id", F.col("n.id").alias("u"), "n.label")
+
+
+_collect("in")
+_collect("out")
+
+
+@register("aggregate_messages", f"{fx.weighted()} SELECT w.dst AS id, max(v.label) AS top, round(sum(w.weight), 8) AS total FROM w JOIN v ON v.id = w.src GROUP BY 1")
+def aggregate(spark, d):
+    g = fx.graph(spark, d)
+    msg = F.struct(F.col("src_label").alias("label"), "weight")
+    return aggregate_messages(g.edges, g.vertices.select("id", "label"), msg, [F.max("msg.label").alias("top"), F.round(F.sum("msg.weight"), 8).alias("total")])
+
+
+_BACK = f"{fx.weighted()} {sql_sum(at='dst', to='src')}"
+
+
+@register("backward_reverse", _BACK)
+def back_reverse(spark, d):
+    g = fx.graph(spark, d)
+    return rounded(backward_reverse(g.edges, g.vertices, "feat"))
+
+
+@register("backward_forward", _BACK)
+def back_forward(spark, d):
+    g = fx.graph(spark, d)
+    return rounded(backward_forward(g.edges, g.vertices, "feat"))
+
+
+@register("backward_edge_grads", f"{fx.weighted()}, y AS (SELECT DISTINCT w.dst AS v, w.src AS u, x.pos, x.val * (w.src % 3 + 1) AS val FROM w JOIN x ON x.id = w.dst WHERE x.pos < 8) SELECT w.src AS id, y.pos, round(sum(w.weight * y.val), 6) + 0.0 AS val FROM w JOIN y ON y.v = w.dst AND y.u = w.src GROUP BY 1, 2")
+def back_edges(spark, d):
+    g = fx.graph(spark, d)
+    pairs = g.edges.select(F.col("dst").alias("v"), F.col("src").alias("u")).distinct().join(g.vertices.select(F.col("id").alias("v"), "feat"), "v")
+    grads = pairs.select("v", "u", vectors.scale(F.slice("feat", 1, 8), (F.col("u") % 3 + 1).cast("double")).alias("vec"))
+    return rounded(backward_edge_grads(g.edges, grads))
+
+
+@register("update_join", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -label ELSE label END AS label FROM embeddings")
+def update_join(spark, d):
+    v = fx.vertices(spark, d).select("id", "label")
+    return update_vertices(v, v.where("id % 3 = 0").select("id", (-F.col("label")).alias("label")), "label")
+
+
+# Vectors and codecs ----------------------------------------------------------------------------
+
+
+@register("vec_arithmetic", "SELECT vec_id AS id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * 2.5)), 6) + 0.0 AS scaled, round(2 * list_sum(embedding::DOUBLE[]), 6) + 0.0 AS added, round(list_sum((embedding::DOUBLE[])[3:10]), 6) + 0.0 AS cut, 2 * len(embedding) AS joined, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS dot FROM embeddings")
+def vec_arithmetic(spark, d):
+    v = F.col("feat")
+    add = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 6) + 0.0
+    return fx.vertices(spark, d).select(
+        "id", add(vectors.scale(v, F.lit(2.5))).alias("scaled"), add(vectors.add(v, v)).alias("added"), add(vectors.cut(v, 2, 10)).alias("cut"),
+        vectors.width(vectors.concat(v, v)).cast("long").alias("joined"), F.round(vectors.dot(v, v), 6).alias("dot"))
+
+
+@register("vec_argmax", f"WITH {fx.V}, {fx.X} SELECT id, arg_max(pos, val)::INT AS best FROM x GROUP BY 1")
+def vec_argmax(spark, d):
+    return fx.vertices(spark, d).select("id", vectors.argmax(F.col("feat")).alias("best"))
+
+
+@register("vec_topk", f"WITH {fx.V}, {fx.X}, r AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY val DESC, pos) AS rank FROM x) SELECT id, rank::INT AS rank, pos FROM r WHERE rank <= 3")
+def vec_topk(spark, d):
+    return fx.vertices(spark, d).select("id", F.posexplode(vectors.topk(F.col("feat"), 3)).alias("r", "pos")).select("id", (F.col("r") + 1).alias("rank"), "pos")
+
+
+@register("dense_to_sparse", f"WITH {fx.V}, {fx.X} SELECT id, pos, val FROM x WHERE val > 0.1")
+def dense_to_sparse(spark, d):
+    some = F.transform("feat", lambda x: F.when(x > 0.1, x).otherwise(0.0))
+    rows = fx.vertices(spark, d).select("id", vectors.to_sparse(some).alias("s"))
+    return rows.select("id", F.explode(F.arrays_zip("s.indices", "s.values")).alias("e")).select("id", F.col("e.indices").alias("pos"), F.col("e.values").alias("val"))
+
+
+@register("sparse_to_dense", f"WITH {fx.V}, {fx.X} SELECT id, pos, CASE WHEN val > 0.1 THEN val ELSE 0.0::DOUBLE END AS val FROM x")
+def sparse_to_dense(spark, d):
+    some = F.transform("feat", lambda x: F.when(x > 0.1, x).otherwise(0.0))
+    rows = fx.vertices(spark, d).select("id", vectors.to_sparse(some).alias("s"))
+    return spread(rows.select("id", vectors.to_dense(F.col("s.size"), F.col("s.indices"), F.col("s.values")).alias("vec")))
+
+
+_PLAIN = f"WITH {fx.V}, {fx.X} SELECT id, pos, val FROM x"
+
+
+@register("codec_dense_roundtrip", _PLAIN)
+def codec_dense(spark, d):
+    line = codecs.encode_dense(F.col("id"), F.col("feat"))
+    return spread(fx.vertices(spark, d).select(codecs.decode_dense(line).alias("r")).select("r.id", "r.vec"))
+
+
+@register("codec_sparse_roundtrip", _PLAIN)
+def codec_sparse(spark, d):
+    rows = fx.vertices(spark, d).select("id", vectors.to_sparse(F.col("feat")).alias("s"))
+    line = rows.select(codecs.encode_sparse(F.col("id"), F.col("s.size"), F.col("s.indices"), F.col("s.values")).alias("line"))
+    return spread(line.select(codecs.decode_sparse(F.col("line")).alias("r")).select("r.id", codecs.sparse_to_vector(F.col("r")).alias("vec")))
+
+
+_NBRS = f"WITH {fx.V}, {fx.E0}, {fx.X} SELECT e0.dst AS id, e0.src AS u, x.pos, x.val FROM e0 JOIN x ON x.id = e0.src WHERE x.pos < 4"
+
+
+def _nbrs(spark, d, encode, decode):
+    cut = fx.vertices(spark, d).select("id", F.slice("feat", 1, 4).alias("feat"))
+    rows = gather(fx.edges(spark, d), cut, weighted=False).select(encode(F.col("id"), F.col("nbrs")).alias("line"))
+    back = rows.select(decode(F.col("line")).alias("r")).select("r.id", F.explode("r.nbrs").alias("n"))
+    return back.select("id", "n.u", F.posexplode("n.vec").alias("pos", "val"))
+
+
+@register("codec_gather_roundtrip", _NBRS)
+def codec_gather(spark, d):
+    return _nbrs(spark, d, codecs.encode_gather, codecs.decode_gather)
+
+
+@register("codec_json_gather", _NBRS)
+def codec_json_gather(spark, d):
+    return _nbrs(spark, d, codecs.encode_json_gather, codecs.decode_json_gather)
+
+
+@register("codec_json_vector", _PLAIN)
+def codec_json(spark, d):
+    line = codecs.encode_json_vector(F.col("id"), F.col("feat"))
+    return spread(fx.vertices(spark, d).select(codecs.decode_json_vector(line).alias("r")).select("r.id", "r.vec"))
+
+
+@register("typed_node_lines", "SELECT vec_id AS id, label::BIGINT AS label, len(embedding)::INT AS n FROM embeddings")
+def typed_node_lines(spark, d):
+    return writers.node_lines(fx.vertices(spark, d)).select("id", "label", F.size(F.split("feature", ":")).alias("n"))
+
+
+# Generators ------------------------------------------------------------------------------------
+
+
+@register("grid_graph", "WITH g AS (SELECT r, c, r * 7 + c AS id FROM range(5) a(r), range(7) b(c)) SELECT id AS src, id + 7 AS dst, 1.0::DOUBLE AS weight FROM g WHERE r < 4 UNION ALL SELECT id, id + 1, 1.0::DOUBLE FROM g WHERE c < 6")
+def grid_graph(spark, d):
+    return generate.grid_graph(spark, 5, 7).edges
+
+
+@register("star_graph", "SELECT i AS src, 0::BIGINT AS dst, 1.0::DOUBLE AS weight FROM range(1, 50) t(i)")
+def star_graph(spark, d):
+    return generate.star_graph(spark, 50).edges
+
+
+@register("lognormal_graph")
+def lognormal_graph(spark, d):
+    return generate.lognormal_graph(spark, 500, 2.0, 1.0)
+
+
+@register("rmat_graph")
+def rmat_graph(spark, d):
+    return generate.rmat_graph(spark, 256, 1000)
+
+
+@register("random_graph")
+def random_graph(spark, d):
+    g = generate.random_graph(spark, 200, width=8, mu=1.5, sigma=0.8, norm="right")
+    return rounded(weighted_sum(g.edges, g.vertices))
+
+
+@register("random_features")
+def random_features(spark, d):
+    g = readers.with_random_features(generate.grid_graph(spark, 20, 20), 8, 4)
+    return g.vertices.select("id", "label", "split", F.size("feat").alias("n"))
+
+
+# Layers and metrics ----------------------------------------------------------------------------
+
+
+def _linear(src: str, name: str, fan_in: int, fan_out: int, step: int, act: bool) -> str:
+    w = f"((i.k * 31 + j.k * 17 + {step * 7}) % 13 - 6) / 13.0::DOUBLE / sqrt({fan_in}::DOUBLE)"
+    total = f"sum({src}.val * ww.w)"
+    out = f"CASE WHEN {total} > 0 THEN {total} ELSE 0.01 * {total} END" if act else total
+    return (f"w{name} AS (SELECT i.k AS i, j.k AS j, {w} AS w FROM range({fan_in}) i(k), range({fan_out}) j(k)), "
+            f"{name} AS (SELECT {src}.id, ww.j AS pos, {out} AS val FROM {src} JOIN w{name} ww ON ww.i = {src}.pos GROUP BY 1, 2)")
+
+
+def _gamma(src: str, name: str) -> str:
+    return f"{name} AS (SELECT w.dst AS id, {src}.pos, sum(w.weight * {src}.val) AS val FROM w JOIN {src} ON {src}.id = w.src GROUP BY 1, 2)"
+
+
+_OUT = "SELECT id, pos::INT AS pos, round(val, 6) + 0.0 AS val FROM "
+_GCN = neural.ModelSpec((64, 16, 10))
+_GCN_SQL = f"{fx.weighted()}, {_gamma('x', 'g0')}, {_linear('g0', 'h0', 64, 16, 0, True)}, {_gamma('h0', 'g1')}, {_linear('g1', 'h1', 16, 10, 1, False)}"
+
+
+def _forward(spark, d, specs):
+    g = fx.graph(spark, d)
+    return train.forward(g, specs, [neural.formula_weights(s) for s in specs])
+
+
+@register("gcn_forward", f"{_GCN_SQL} {_OUT} h1")
+def gcn_forward(spark, d):
+    return rounded(spread(_forward(spark, d, [_GCN]), "logits"))
+
+
+@register("gin_forward", f"{fx.weighted()}, {_gamma('x', 'g0')}, {_linear('g0', 'a0', 64, 12, 0, True)}, {_linear('a0', 'h0', 12, 16, 1, True)}, {_gamma('h0', 'g1')}, {_linear('g1', 'a1', 16, 12, 2, True)}, {_linear('a1', 'h1', 12, 10, 3, False)} {_OUT} h1")
+def gin_forward(spark, d):
+    return rounded(spread(_forward(spark, d, [neural.ModelSpec((64, 16, 10), "gin", mlp_hidden=12)]), "logits"))
+
+
+@register("gcn_batched_forward", f"{_GCN_SQL} SELECT id, (pos + 10 * m)::INT AS pos, round(val, 6) + 0.0 AS val FROM h1, range(2) t(m)")
+def gcn_batched(spark, d):
+    return rounded(spread(_forward(spark, d, [_GCN, _GCN]), "logits"))
+
+
+def _logits(spark, d):
+    """Ten numbers for each vertex: the first entries of its vector, the label's raised for even ids."""
+    raised = F.transform(F.slice("feat", 1, 10), lambda x, i: x + F.when((i == F.col("label")) & (F.col("id") % 2 == 0), 1.0).otherwise(0.0))
+    masks = structure.split_masks(fx.vertices(spark, d), fx.split_number())
+    return fx.vertices(spark, d).select("id", "label", raised.alias("logits")).join(masks, "id")
+
+
+_LOGITS = f"WITH {fx.V}, {fx.X}, l AS (SELECT x.id, x.pos, v.label, x.val + CASE WHEN x.pos = v.label AND x.id % 2 = 0 THEN 1.0 ELSE 0.0 END AS val FROM x JOIN v USING (id) WHERE x.pos < 10), r AS (SELECT id, label, pos, val, {_SPLIT_SQL} AS s, row_number() OVER (PARTITION BY id ORDER BY val DESC, pos) AS rank FROM l)"
+
+
+@register("masked_ce_loss", f"{_LOGITS}, z AS (SELECT id, s, ln(sum(exp(val))) - max(CASE WHEN pos = label THEN val END) AS ce FROM r GROUP BY 1, 2) SELECT round(sum(CASE WHEN s = 0 THEN ce END) / count(*) FILTER (WHERE s = 0), 8) AS loss FROM z")
+def masked_ce_loss(spark, d):
+    return metrics.masked_cross_entropy(_logits(spark, d), mask="train_mask").select(F.round("loss", 8).alias("loss"))
+
+
+@register("log_softmax", f"{_LOGITS}, z AS (SELECT id, ln(sum(exp(val))) AS n FROM r GROUP BY 1) SELECT r.id, r.pos, round(r.val - z.n, 8) AS val FROM r JOIN z USING (id)")
+def log_softmax(spark, d):
+    rows = _logits(spark, d).select("id", vectors.log_softmax(F.col("logits")).alias("vec"))
+    return rounded(spread(rows), 8)
+
+
+@register("sigmoid", f"{_LOGITS} SELECT id, pos, round(1 / (1 + exp(-val)), 8) AS val FROM r")
+def sigmoid(spark, d):
+    return rounded(spread(_logits(spark, d).select("id", vectors.sigmoid(F.col("logits")).alias("vec"))), 8)
+
+
+def _accuracy(name: str, k: int):
+    @register(name, f"{_LOGITS}, h AS (SELECT s, id, max(CASE WHEN rank <= {k} AND pos = label THEN 1 ELSE 0 END) AS hit FROM r GROUP BY 1, 2) SELECT CASE s WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, sum(hit)::BIGINT AS n_correct, count(*) AS n, round(sum(hit) / count(*), 9) AS accuracy FROM h GROUP BY s")
+    def run(spark, d):
+        rows = _logits(spark, d)
+        if k == 1:
+            found = metrics.split_accuracy(rows)
+        else:
+            split = F.when(F.col("train_mask") == 1, "train").when(F.col("valid_mask") == 1, "valid").otherwise("test")
+            found = metrics.accuracy(rows.withColumn("split", split), ["split"], k)
+        return found.select("split", "n_correct", "n", F.round("accuracy", 9).alias("accuracy"))
+
+
+_accuracy("accuracy", 1)
+_accuracy("topk_accuracy", 3)
+
+_PRED = f"{_LOGITS}, p AS (SELECT id, pos AS pred, label AS truth FROM r WHERE rank = 1), c AS (SELECT unnest(range(10))::INT AS cls), cm AS (SELECT cls, count(*) FILTER (WHERE pred = cls AND truth = cls) AS tp, count(*) FILTER (WHERE pred = cls AND truth <> cls) AS fp, count(*) FILTER (WHERE pred <> cls AND truth = cls) AS fn, count(*) FILTER (WHERE pred <> cls AND truth <> cls) AS tn FROM c, p GROUP BY cls HAVING tp + fp + fn > 0)"
+
+
+def _predicted(spark, d):
+    return _logits(spark, d).select("id", vectors.argmax(F.col("logits")).alias("pred"), F.col("label").alias("truth"))
+
+
+@register("confusion", f"{_PRED} SELECT cls, tp, fp, fn, tn FROM cm")
+def confusion(spark, d):
+    return metrics.confusion(_predicted(spark, d))
+
+
+@register("f1_scores", f"{_PRED} SELECT round(sum(tp) / (sum(tp) + 0.5 * (sum(fp) + sum(fn))), 9) AS f1_micro, round(avg(tp / (tp + 0.5 * (fp + fn))), 9) AS f1_macro FROM cm")
+def f1_scores(spark, d):
+    found = metrics.f1_scores(metrics.confusion(_predicted(spark, d)))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+_MULTI = f"WITH {fx.V}, {fx.X}, b AS (SELECT x.id, x.pos AS cls, (x.val > 0)::INT AS p, ((x.id + x.pos) % 3 = 0)::INT AS t FROM x WHERE x.pos < 10), cm AS (SELECT cls, count(*) FILTER (WHERE p = 1 AND t = 1) AS tp, count(*) FILTER (WHERE p = 1 AND t = 0) AS fp, count(*) FILTER (WHERE p = 0 AND t = 1) AS fn, count(*) FILTER (WHERE p = 0 AND t = 0) AS tn FROM b GROUP BY 1)"
+
+
+def _multilabel(spark, d):
+    pred = F.transform(F.slice("feat", 1, 10), lambda x: (x > 0).cast("int"))
+    truth = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((F.col("id") + i) % 3 == 0).cast("int"))
+    return metrics.multilabel_confusion(fx.vertices(spark, d).select(pred.alias("pred"), truth.alias("truth")))
+
+
+@register("multilabel_confusion", f"{_MULTI} SELECT cls, tp, fp, fn, tn FROM cm")
+def multilabel_confusion(spark, d):
+    return _multilabel(spark, d)
+
+
+@register("multilabel_f1", f"{_MULTI} SELECT round(sum(tp) / (sum(tp) + 0.5 * (sum(fp) + sum(fn))), 9) AS f1_micro, round(avg(tp / (tp + 0.5 * (fp + fn))), 9) AS f1_macro FROM cm")
+def multilabel_f1(spark, d):
+    found = metrics.f1_scores(_multilabel(spark, d))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+@register("binary_accuracy", f"WITH {fx.V} SELECT sum((feat[1] > 0.0) = (label % 2 = 1))::BIGINT AS n_correct, count(*) AS n, round(avg(((feat[1] > 0.0) = (label % 2 = 1))::INT), 9) AS accuracy FROM v")
+def binary_accuracy(spark, d):
+    rows = fx.vertices(spark, d).select(F.col("feat")[0].alias("score"), (F.col("label") % 2).alias("label"))
+    return metrics.binary_accuracy(rows, threshold=0.0).select("n_correct", "n", F.round("accuracy", 9).alias("accuracy"))
+
+
+@register("num_classes", "SELECT count(DISTINCT label) AS n_classes FROM embeddings")
+def num_classes(spark, d):
+    return metrics.n_classes(fx.vertices(spark, d))
+
+
+@register("train_count", "SELECT count(*) FILTER (WHERE vec_id % 10 < 8) AS n_train FROM embeddings")
+def train_count(spark, d):
+    return metrics.train_count(structure.split_masks(fx.vertices(spark, d), fx.split_number()))
+
+
+@register("graph_counts", f"WITH {fx.V}, {fx.E0}, {fx.E} SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges")
+def graph_counts(spark, d):
+    return fx.graph(spark, d).counts()
+
+
+@register("hparam_grid", "SELECT (row_number() OVER (ORDER BY o.i, l.i, p.i) - 1)::INT AS model, o.v AS optimizer, l.v AS lr, p.v AS dropout FROM (VALUES (0, 'adamw'), (1, 'adagrad')) o(i, v), (VALUES (0, 0.01::DOUBLE), (1, 0.001::DOUBLE)) l(i, v), (VALUES (0, 0.3::DOUBLE), (1, 0.5::DOUBLE)) p(i, v)")
+def hparam_grid(spark, d):
+    specs = neural.grid(_GCN, optimizer=["adamw", "adagrad"], lr=[0.01, 0.001], dropout=[0.3, 0.5])
+    return spark.createDataFrame([(i, s.optimizer, s.lr, s.dropout) for i, s in enumerate(specs)], "model int, optimizer string, lr double, dropout double")
+
+
+@register("train_gcn")
+def train_gcn(spark, d):
+    g = fx.graph(spark, d)
+    targets = g.vertices.select("id", "label").join(structure.split_masks(g.vertices, fx.split_number()), "id")
+    return train.history_frame(spark, train.Trainer(g, targets, [_GCN]).fit(2))
+
+
+@register("train_batched")
+def train_batched(spark, d):
+    g = fx.graph(spark, d)
+    targets = g.vertices.select("id", "label").join(structure.split_masks(g.vertices, fx.split_number()), "id")
+    specs = neural.grid(neural.ModelSpec((64, 8, 10), normalise=True), optimizer=["adamw", "adagrad"], dropout=[0.0, 0.3])
+    return train.history_frame(spark, train.Trainer(g, targets, specs).fit(1))

@@ -1 +1 @@
-
+"""Kept for streaming operators; the graph engine works on whole graphs and has none."""
