@@ -94,7 +94,7 @@ def scan(elements: np.ndarray, block: int = 64) -> np.ndarray:
     if n <= block:
         out, so_far = np.empty(n, np.uint8), 0
         for i, x in enumerate(elements.tolist()):
-            out[i] = so_far = product[(so_far << 8) | x]
+            out[i] = so_far = int(product[(so_far << 8) | x])
         return out
     rows = -(-n // block)
     padded = np.zeros(rows * block, np.uint8)
