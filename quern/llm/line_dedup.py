@@ -62,11 +62,11 @@ def repeated_lines(docs: DataFrame, workspace: Workspace, run: int = RUN) -> Dat
     place = F.struct("no_id", "doc_id", "key", "pos")
     twice = selected.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     twice = workspace.materialise(twice.where(F.col("low") != F.col("high")).select("fp"), "repeated")
-    through = selected.join(twice, "fp")
+    through = selected.join(twice.hint("merge"), "fp")
     start = F.struct("no_id", "doc_id", "key", F.col("lines")[0].alias("line"))
     first = through.groupBy("k1", "k2").agg(F.min(start).alias("first"), F.max(start).alias("last"))
     first = workspace.materialise(first.where(F.col("first") != F.col("last")).select("k1", "k2", "first"), "first")
-    later = through.join(first, ["k1", "k2"]).where(start != F.col("first"))
+    later = through.join(first.hint("merge"), ["k1", "k2"]).where(start != F.col("first"))
     lost = later.select("no_id", "doc_id", "key", F.explode("lines").alias("line"))
     return workspace.materialise(lost.groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone")), "gone")
 
