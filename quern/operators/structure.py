@@ -52,7 +52,14 @@ def labelled_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(flags, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("labeled").alias("labelled_deg"))
 
 
-def normalise(edges: DataFrame, norm: str = "symmetric", degree_convention: str = "forward") -> DataFrame:
+def _with_degree(edges: DataFrame, degree: DataFrame, key: str, other: str, salts: int) -> DataFrame:
+    """Join a degree onto edges at one end. A hub's edges are dealt out by their other end, and its degree, one number, goes along."""
+    salted = edges.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    copies = degree.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
+def normalise(edges: DataFrame, norm: str = "symmetric", degree_convention: str = "forward", salts: int = 8) -> DataFrame:
     """src, dst, weight.
 
     symmetric 1/sqrt(out(src) in(dst)), right 1/in(dst) (the mean over in-neighbours), left
@@ -72,9 +79,9 @@ def normalise(edges: DataFrame, norm: str = "symmetric", degree_convention: str
     d_src = F.greatest(F.coalesce("d_src", F.lit(1)), F.lit(1)).cast("double")
     d_dst = F.greatest(F.coalesce("d_dst", F.lit(1)), F.lit(1)).cast("double")
     if norm in ("symmetric", "left"):
-        pairs = pairs.join(of_src, "src", "left")
+        pairs = _with_degree(pairs, of_src, "src", "dst", salts)
     if norm in ("symmetric", "right"):
-        pairs = pairs.join(of_dst, "dst", "left")
+        pairs = _with_degree(pairs, of_dst, "dst", "src", salts)
     weight = {"symmetric": lambda: 1.0 / (F.sqrt(d_src) * F.sqrt(d_dst)), "right": lambda: 1.0 / d_dst, "left": lambda: 1.0 / d_src}[norm]()
     return pairs.select("src", "dst", weight.alias("weight"))
 

@@ -20,6 +20,7 @@ from quern.operators.neural import LayerPass, ModelSpec, Weights, init_weights,
 from quern.operators.optimizers import optimizer
 from quern.operators.propagate import backward_reverse, weighted_sum
 from quern.session import Timers, cut
+from quern.sources.writers import load_weights, save_weights
 
 SPLITS = ("train", "valid", "test")
 ROWS = "kind string, id long, vec array<double>"
@@ -133,8 +134,9 @@ class Trainer:
         self.optimizers = [optimizer(s.optimizer, s.lr, s.weight_decay) for s in specs]
         self.total = float(targets.agg(F.sum("train_mask")).first()[0] or 1)
         self.timers, self.history = Timers(), History()
-        feats = graph.vertices.select("id", "feat")
-        self.first = cut(weighted_sum(graph.edges, feats, "feat", "summarizer"))
+        # Every sweep reads the edges, so how they came about is computed once.
+        self.graph = graph.with_edges(cut(graph.edges.select("src", "dst", "weight")))
+        self.first = cut(weighted_sum(self.graph.edges, graph.vertices.select("id", "feat"), "feat", "summarizer"))
 
     def gradients(self, epoch: int) -> tuple[list[list[list[tuple[np.ndarray, np.ndarray]]]], dict[int, np.ndarray]]:
         """Weight gradients by model and layer, and the sums of loss and hits by model."""
@@ -182,6 +184,23 @@ class Trainer:
             self.epoch(number)
         return self.history
 
+    def save(self, path: str) -> None:
+        """Write the weights of all models."""
+        named = {}
+        for k, layers in enumerate(self.weights):
+            for layer, steps in enumerate(layers):
+                for number, (w, b) in enumerate(steps):
+                    named[f"{k}/{layer}/{number}/w"], named[f"{k}/{layer}/{number}/b"] = w.tolist(), [b.tolist()]
+        save_weights(self.graph.edges.sparkSession, named, path)
+
+    def load(self, path: str) -> None:
+        named = load_weights(self.graph.edges.sparkSession, path)
+        for k, layers in enumerate(self.weights):
+            for layer, steps in enumerate(layers):
+                for number in range(len(steps)):
+                    key = f"{k}/{layer}/{number}"
+                    steps[number] = (np.array(named[f"{key}/w"]), np.array(named[f"{key}/b"][0]))
+
     def predict(self) -> DataFrame:
         """id, logits of all models side by side, without dropout."""
         return forward(self.graph, self.specs, self.weights)

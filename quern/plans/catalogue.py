@@ -23,6 +23,7 @@ from quern.operators.propagate import (
     weighted_sum,
 )
 from quern.plans import fixture as fx
+from quern.session import shared_folder
 from quern.sources import readers, writers
 
 _QUERIES: dict = {}
@@ -110,14 +111,14 @@ for _n in structure.NORMS:
 _norm("symmetric", "reverse")
 
 
-@register("khop_in", f"WITH {fx.E0}, h0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 97 = 0), h1 AS (SELECT src AS id FROM e0 JOIN h0 ON e0.dst = h0.id), h2 AS (SELECT src AS id FROM e0 JOIN (SELECT DISTINCT id FROM h1) h ON e0.dst = h.id), a AS (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) SELECT id, min(hop)::INT AS hop FROM a GROUP BY 1")
+@register("khop_in", f"WITH {fx.E0}, h0 AS (SELECT vec_id AS id FROM embeddings WHERE label = 0), h1 AS (SELECT src AS id FROM e0 JOIN h0 ON e0.dst = h0.id), h2 AS (SELECT src AS id FROM e0 JOIN (SELECT DISTINCT id FROM h1) h ON e0.dst = h.id), a AS (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) SELECT id, min(hop)::INT AS hop FROM a GROUP BY 1")
 def khop_in(spark, d):
-    return structure.khop_in(fx.edges(spark, d), fx.vertices(spark, d).where("id % 97 = 0"), 2)
+    return structure.khop_in(fx.edges(spark, d), fx.vertices(spark, d).where("label = 0"), 2)
 
 
-@register("khop_subgraph", f"WITH {fx.E0}, h0 AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 97 = 0), h1 AS (SELECT src AS id FROM e0 JOIN h0 ON e0.dst = h0.id), h AS (SELECT id FROM h0 UNION SELECT id FROM h1) SELECT src, dst FROM e0 WHERE dst IN (SELECT id FROM h)")
+@register("khop_subgraph", f"WITH {fx.E0}, h0 AS (SELECT vec_id AS id FROM embeddings WHERE label = 0), h1 AS (SELECT src AS id FROM e0 JOIN h0 ON e0.dst = h0.id), h AS (SELECT id FROM h0 UNION SELECT id FROM h1) SELECT src, dst FROM e0 WHERE dst IN (SELECT id FROM h)")
 def khop_subgraph(spark, d):
-    return structure.khop_subgraph(fx.edges(spark, d), fx.vertices(spark, d).where("id % 97 = 0"), 2).select("src", "dst")
+    return structure.khop_subgraph(fx.edges(spark, d), fx.vertices(spark, d).where("label = 0"), 2).select("src", "dst")
 
 
 _SPLIT_SQL = "CASE WHEN id % 10 < 8 THEN 0 WHEN id % 10 = 8 THEN 1 ELSE 2 END"
@@ -201,17 +202,21 @@ def propagate_sparse(spark, d):
     return rounded(sparse_sum(g.edges, sparse))
 
 
-@register("gather_neighbors", f"{fx.weighted()} SELECT w.dst AS id, w.src AS u, x.pos, round(w.weight * x.val, 8) + 0.0 AS val FROM w JOIN x ON x.id = w.src WHERE x.pos < 4")
+def _total(v):
+    return (F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total")
+
+
+@register("gather_neighbors", f"{fx.weighted()} SELECT w.dst AS id, w.src AS u, round(list_sum(list_transform(v.feat, lambda x: x * w.weight)), 6) + 0.0 AS total, len(v.feat) AS n FROM w JOIN v ON v.id = w.src")
 def gather_neighbors(spark, d):
     g = fx.graph(spark, d)
-    rows = gather(g.edges, g.vertices).select("id", F.explode("nbrs").alias("n")).select("id", "n.u", F.posexplode(F.slice("n.vec", 1, 4)).alias("pos", "val"))
-    return rows.select("id", "u", "pos", (F.round("val", 8) + 0.0).alias("val"))
+    rows = gather(g.edges, g.vertices).select("id", F.explode("nbrs").alias("n"))
+    return rows.select("id", "n.u", _total(F.col("n.vec")), F.size("n.vec").cast("long").alias("n"))
 
 
-@register("gather_unweighted", f"WITH {fx.V}, {fx.E0}, {fx.X} SELECT e0.dst AS id, e0.src AS u, x.pos, round(x.val, 8) + 0.0 AS val FROM e0 JOIN x ON x.id = e0.src WHERE x.pos < 4")
+@register("gather_unweighted", f"WITH {fx.V}, {fx.E0} SELECT e0.dst AS id, e0.src AS u, round(list_sum(v.feat), 6) + 0.0 AS total, len(v.feat) AS n FROM e0 JOIN v ON v.id = e0.src")
 def gather_unweighted(spark, d):
     rows = gather_rows(fx.edges(spark, d), fx.vertices(spark, d), weighted=False)
-    return rows.select("id", "u", F.posexplode(F.slice("vec", 1, 4)).alias("pos", "v")).select("id", "u", "pos", (F.round("v", 8) + 0.0).alias("val"))
+    return rows.select("id", "u", _total(F.col("vec")), F.size("vec").cast("long").alias("n"))
 
 
 @register("gather_then_sum", f"{fx.weighted()} {sql_sum()}")
@@ -255,18 +260,18 @@ def back_forward(spark, d):
     return rounded(backward_forward(g.edges, g.vertices, "feat"))
 
 
-@register("backward_edge_grads", f"{fx.weighted()}, y AS (SELECT DISTINCT w.dst AS v, w.src AS u, x.pos, x.val * (w.src % 3 + 1) AS val FROM w JOIN x ON x.id = w.dst WHERE x.pos < 8) SELECT w.src AS id, y.pos, round(sum(w.weight * y.val), 6) + 0.0 AS val FROM w JOIN y ON y.v = w.dst AND y.u = w.src GROUP BY 1, 2")
+@register("backward_edge_grads", f"{fx.weighted()}, y AS (SELECT DISTINCT w.dst AS v, w.src AS u, x.pos, x.val * (w.src % 3 + 1) AS val FROM w JOIN x ON x.id = w.dst) SELECT w.src AS id, y.pos, round(sum(w.weight * y.val), 6) + 0.0 AS val FROM w JOIN y ON y.v = w.dst AND y.u = w.src GROUP BY 1, 2")
 def back_edges(spark, d):
     g = fx.graph(spark, d)
     pairs = g.edges.select(F.col("dst").alias("v"), F.col("src").alias("u")).distinct().join(g.vertices.select(F.col("id").alias("v"), "feat"), "v")
-    grads = pairs.select("v", "u", vectors.scale(F.slice("feat", 1, 8), (F.col("u") % 3 + 1).cast("double")).alias("vec"))
+    grads = pairs.select("v", "u", vectors.scale(F.col("feat"), (F.col("u") % 3 + 1).cast("double")).alias("vec"))
     return rounded(backward_edge_grads(g.edges, grads))
 
 
-@register("update_join", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -label ELSE label END AS label FROM embeddings")
+@register("update_join", "SELECT vec_id AS id, CASE WHEN label < 3 THEN -label ELSE label END AS label FROM embeddings")
 def update_join(spark, d):
     v = fx.vertices(spark, d).select("id", "label")
-    return update_vertices(v, v.where("id % 3 = 0").select("id", (-F.col("label")).alias("label")), "label")
+    return update_vertices(v, v.where("label < 3").select("id", (-F.col("label")).alias("label")), "label")
 
 
 # Vectors and codecs ----------------------------------------------------------------------------
@@ -321,14 +326,15 @@ def codec_sparse(spark, d):
     return spread(line.select(codecs.decode_sparse(F.col("line")).alias("r")).select("r.id", codecs.sparse_to_vector(F.col("r")).alias("vec")))
 
 
-_NBRS = f"WITH {fx.V}, {fx.E0}, {fx.X} SELECT e0.dst AS id, e0.src AS u, x.pos, x.val FROM e0 JOIN x ON x.id = e0.src WHERE x.pos < 4"
+_NBRS = f"WITH {fx.V}, {fx.E0} SELECT e0.dst AS id, e0.src AS u, v.feat = v.feat AS same FROM e0 JOIN v ON v.id = e0.src"
 
 
 def _nbrs(spark, d, encode, decode):
-    cut = fx.vertices(spark, d).select("id", F.slice("feat", 1, 4).alias("feat"))
-    rows = gather(fx.edges(spark, d), cut, weighted=False).select(encode(F.col("id"), F.col("nbrs")).alias("line"))
-    back = rows.select(decode(F.col("line")).alias("r")).select("r.id", F.explode("r.nbrs").alias("n"))
-    return back.select("id", "n.u", F.posexplode("n.vec").alias("pos", "val"))
+    """Every message after the round trip, and whether its whole vector is the neighbour's."""
+    v = fx.vertices(spark, d)
+    rows = gather(fx.edges(spark, d), v, weighted=False).select(encode(F.col("id"), F.col("nbrs")).alias("line"))
+    back = rows.select(decode(F.col("line")).alias("r")).select("r.id", F.explode("r.nbrs").alias("n")).select("id", "n.u", "n.vec")
+    return back.join(v.select(F.col("id").alias("u"), "feat"), "u").select("id", "u", (F.col("vec") == F.col("feat")).alias("same"))
 
 
 @register("codec_gather_roundtrip", _NBRS)
@@ -347,6 +353,82 @@ def codec_json(spark, d):
     return spread(fx.vertices(spark, d).select(codecs.decode_json_vector(line).alias("r")).select("r.id", "r.vec"))
 
 
+@register("vec_concat_map", f"WITH {fx.V}, {fx.E0} SELECT dst AS id, count(DISTINCT src) AS n, max(src) AS top FROM e0 GROUP BY 1")
+def vec_concat_map(spark, d):
+    pairs = gather(fx.edges(spark, d), fx.vertices(spark, d), weighted=False)
+    mapped = pairs.select("id", vectors.pairs_to_map(F.col("nbrs"), "u", "vec").alias("m"))
+    return mapped.select("id", F.size("m").cast("long").alias("n"), F.array_max(F.map_keys("m")).alias("top"))
+
+
+@register("tokens_and_clean", "SELECT n_nationkey AS id, len(string_split_regex(trim(n_name), '\\s+'))::BIGINT AS n, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_nationkey::DOUBLE END, 0.0::DOUBLE) AS x FROM nation")
+def tokens_and_clean(spark, d):
+    rows = fx.table(spark, d, "nation")
+    x = F.when(F.col("n_nationkey") % 4 == 0, F.lit(float("nan"))).when(F.col("n_nationkey") % 2 == 0, F.lit(None)).otherwise(F.col("n_nationkey").cast("double"))
+    return rows.select(F.col("n_nationkey").alias("id"), F.size(vectors.tokens(F.col("n_name"))).cast("long").alias("n"), vectors.clean(x).alias("x"))
+
+
+# Sources and sinks -----------------------------------------------------------------------------
+
+
+def _written(spark, d, name: str, write):
+    folder = shared_folder(spark, name)
+    write(fx.graph(spark, d).with_vertices(fx.vertices(spark, d)), folder)
+    return folder
+
+
+def _meta(spark, d):
+    return structure.split_masks(fx.vertices(spark, d), fx.split_number()).select("id", F.lit(0).alias("label"), "all_mask", "train_mask", "valid_mask", "test_mask")
+
+
+@register("csv_features", f"WITH {fx.V}, {fx.X} SELECT id, pos, printf('%.4e', val)::DOUBLE + 0.0 AS val FROM x")
+def csv_features(spark, d):
+    folder = _written(spark, d, "csv", lambda g, to: writers.save_csv(g, _meta(spark, d), to))
+    return rounded(spread(readers.read_features(spark, f"{folder}/features.csv", labelled=True), "feat"), 12)
+
+
+@register("csv_sparse_features", f"WITH {fx.V}, {fx.X} SELECT id, count(*) AS n FROM x WHERE val <> 0 GROUP BY 1")
+def csv_sparse_features(spark, d):
+    folder = _written(spark, d, "csv", lambda g, to: writers.save_csv(g, _meta(spark, d), to))
+    return readers.read_sparse_features(spark, f"{folder}/features.csv", labelled=True).select("id", F.size("indices").cast("long").alias("n"))
+
+
+@register("csv_graph", f"{fx.weighted('right')} SELECT src, dst, round(weight, 10) AS weight FROM w")
+def csv_graph(spark, d):
+    folder = shared_folder(spark, "csv")
+    v = fx.vertices(spark, d)
+    writers.save_csv(fx.graph(spark, d).with_vertices(v).with_edges(fx.edges(spark, d)), _meta(spark, d), folder)
+    loaded = readers.load_graph(spark, folder, "csv", labelled=True, loops=True, norm="right")
+    return loaded.edges.select("src", "dst", F.round("weight", 10).alias("weight"))
+
+
+@register("csv_meta", f"WITH {fx.V}, s AS (SELECT id, {_SPLIT_SQL} AS s FROM v) SELECT id, 0 AS label, s::INT AS all_mask, (s = 0)::INT AS train_mask, (s = 1)::INT AS valid_mask, (s = 2)::INT AS test_mask FROM s")
+def csv_meta(spark, d):
+    folder = _written(spark, d, "csv", lambda g, to: writers.save_csv(g, _meta(spark, d), to))
+    return readers.read_meta(spark, f"{folder}/meta.csv")
+
+
+@register("plain_graph", f"WITH {fx.V}, {fx.E0}, {fx.E} SELECT src, dst FROM e")
+def plain_graph(spark, d):
+    folder = _written(spark, d, "plain", lambda g, to: writers.save_plain(g, f"{to}/edges", f"{to}/vertices"))
+    return readers.read_plain_graph(spark, f"{folder}/edges", f"{folder}/vertices").edges
+
+
+@register("partitioned_graph", f"{fx.weighted()} SELECT dst AS src, src AS dst, round(weight, 10) AS weight FROM w")
+def partitioned_graph(spark, d):
+    folder = _written(spark, d, "parts", lambda g, to: writers.save_partitioned(g, to, 8))
+    return readers.load_partitioned(spark, folder)[1].select("src", "dst", F.round("weight", 10).alias("weight"))
+
+
+@register("typed_edge_lines", f"WITH {fx.E0} SELECT src AS src_id, dst AS dst_id, 0.0::DOUBLE AS weight FROM e0")
+def typed_edge_lines(spark, d):
+    return writers.edge_lines(fx.edges(spark, d))
+
+
+@register("typed_split_lines", "SELECT vec_id AS id, 1.0::DOUBLE AS weight FROM embeddings WHERE vec_id % 10 = 8")
+def typed_split_lines(spark, d):
+    return writers.split_lines(structure.split_masks(fx.vertices(spark, d), fx.split_number()), "valid")
+
+
 @register("typed_node_lines", "SELECT vec_id AS id, label::BIGINT AS label, len(embedding)::INT AS n FROM embeddings")
 def typed_node_lines(spark, d):
     return writers.node_lines(fx.vertices(spark, d)).select("id", "label", F.size(F.split("feature", ":")).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -39,6 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoints-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path beside the checkpoints, which all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/quern-{name}-{uuid.uuid4().hex}"
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder and forget the lineage; lost executors don't lose it."""
     ensure_checkpoint_dir(frame.sparkSession)

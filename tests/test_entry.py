@@ -9,7 +9,7 @@ import pytest
 from quern.plans import catalogue
 
 DATA = os.environ.get("QUERN_SMOKE_DIR", "/root/testdata/sf0.001")
-TABLES = ("embeddings", "lineitem")
+TABLES = ("embeddings", "lineitem", "nation")
 
 
 @pytest.fixture(scope="module")

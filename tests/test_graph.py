@@ -9,6 +9,7 @@ from quern.graph import PropertyGraph, reverse_edges
 from quern.operators import generate, metrics, neural, structure, train
 from quern.operators import propagate as pr
 from quern.operators.optimizers import optimizer
+from quern.session import Scope, Timers, shared_folder
 from quern.sources import readers, writers
 
 
@@ -229,7 +230,12 @@ def test_loss_falls(spark):
     trainer = train.Trainer(graph, targets, [neural.ModelSpec((3, 8, 2), lr=0.1)])
     history = trainer.fit(4)
     assert history.value(3, 0, "loss") < history.value(0, 0, "loss")
-    assert trainer.predict().count() == 8
+    before = as_dict(trainer.predict(), "logits")
+    folder = shared_folder(spark, "weights")
+    trainer.save(folder)
+    other = train.Trainer(graph, targets, [neural.ModelSpec((3, 8, 2), seed=1)])
+    other.load(folder)
+    assert as_dict(other.predict(), "logits") == before and len(before) == 8
 
 
 @pytest.mark.parametrize("name", ["adamw", "adagrad", "lbfgs"])
@@ -245,3 +251,28 @@ def test_bad_options(spark, toy):
     for call in (lambda: structure.normalise(e, "up"), lambda: pr.weighted_sum(e, v, plan="x"), lambda: neural.ModelSpec((3, 2), "sage"), lambda: optimizer("sgd", 1, 0)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_scope_lets_go(spark):
+    with Scope() as scope:
+        a, b = scope.persist(spark.range(3)), scope.persist(spark.range(4).withColumn("x", F.lit(1)))
+        a.count(), b.count()
+        scope.keep(b)
+    assert not a.is_cached and b.is_cached
+    b.unpersist()
+
+
+def test_timers_add_up():
+    timers = Timers()
+    for _ in range(2):
+        with timers.timed("x"):
+            pass
+    assert list(timers.seconds) == ["x"]
+
+
+def test_multilabel_loss_and_training(spark):
+    graph, targets = small_problem(spark)
+    many = targets.drop("label").withColumn("label", F.array((F.col("id") % 2).cast("double"), (F.col("id") % 3 == 0).cast("double")))
+    trainer = train.Trainer(graph, many, [neural.ModelSpec((3, 6, 2), lr=0.1)], loss="bce")
+    history = trainer.fit(3)
+    assert history.value(2, 0, "loss") < history.value(0, 0, "loss")
