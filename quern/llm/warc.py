@@ -289,3 +289,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = WarcStore(Workspace(spark, "warc"))
     store.write(pages)
     return store.fetch(pages.select(url_key(F.col("url")).alias("url_key"), "page_id"))
+
+
+#: Base32 by hand: five hex digits are four characters.
+ORACLE_SQL = """
+WITH bodies AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), grouped AS (
+  SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS last, sha1(body) AS hex FROM bodies
+), digits AS (
+  SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, 5 * k + 1, 5))::BIGINT) AS parts FROM grouped
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
+FROM digits
+"""

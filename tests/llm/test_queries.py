@@ -41,8 +41,9 @@ def test_empty_tables(spark, empty_dir, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, folder, name):
     con = duckdb.connect()
-    at = f"{folder}/documents.parquet"
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{at}{'/*.parquet' if os.path.isdir(at) else ''}'")
+    for table in ("documents", "pages"):
+        at = f"{folder}/{table}.parquet"
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{at}{'/*.parquet' if os.path.isdir(at) else ''}'")
     if folder != DATA and name == "op9_line_dedup":
         # The SQL takes ids for row numbers, so rows that repeat an id or have none are left to test_lines.
         pytest.skip("ids repeat")
