@@ -42,6 +42,7 @@ from quern.llm.common import Workspace, table, text_or_empty
 SPAN, GRAM, HALF = 400, 32, 200
 BUCKET_ROWS = 2_000
 STRIPE = 16
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -102,6 +103,27 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     return low, high, anchor, right, left
 
 
+def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Row, base and bytes of the pieces of texts, about SEGMENT bytes at a time.
+
+    Each window starts in one piece. An anchor whose windows are parted between two pieces gives two
+    blocks, which the comparison of windows treats like any others.
+    """
+    rows, bases, pieces, held = [], [], [], 0
+    for row, text in enumerate(texts):
+        for base in range(0, len(text) - SPAN + 1, SEGMENT):
+            piece = text[base : base + SEGMENT + SPAN - 1]
+            rows.append(row)
+            bases.append(base)
+            pieces.append(piece)
+            held += len(piece)
+            if held >= SEGMENT:
+                yield rows, bases, pieces
+                rows, bases, pieces, held = [], [], [], 0
+    if rows:
+        yield rows, bases, pieces
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, text: a hash of the text tells rows of one doc_id apart."""
     text = text_or_empty()
@@ -113,30 +135,27 @@ def anchor_table(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "key", "low", "off", "span", "right", "left", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, limit=1 << 20):
-            texts = texts_of(chunk)
-            long = np.array([i for i, t in enumerate(texts) if len(t) >= SPAN], np.int64)
-            if not len(long):
-                continue
-            whole = b"".join(texts[i] for i in long)
-            sizes = np.array([len(texts[i]) for i in long], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            low, high, anchor, right, left = anchors_of(np.frombuffer(whole, np.uint8), starts, sizes)
-            text_no = np.searchsorted(starts, low, side="right") - 1
-            digest, view = xxhash.xxh3_128_digest, memoryview(whole)
-            digests = [digest(view[a:b]) for a, b in zip(low.tolist(), (high + SPAN).tolist(), strict=True)]
-            row = pa.array(long[text_no])
-            columns = [
-                chunk.column("doc_id").take(row),
-                chunk.column("key").take(row),
-                pa.array((low - starts[text_no]).astype(np.int64)),
-                pa.array((anchor - low).astype(np.int32)),
-                pa.array((high - low).astype(np.int32)),
-                pa.array(right.view(np.int64)),
-                pa.array(left.view(np.int64)),
-                pa.array(digests, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for chunk in text_chunks(batches, limit=SEGMENT):
+            for rows, bases, pieces in _segments(texts_of(chunk)):
+                whole = b"".join(pieces)
+                sizes = np.array([len(x) for x in pieces], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                low, high, anchor, right, left = anchors_of(np.frombuffer(whole, np.uint8), starts, sizes)
+                piece_no = np.searchsorted(starts, low, side="right") - 1
+                digest, view = xxhash.xxh3_128_digest, memoryview(whole)
+                digests = [digest(view[a:b]) for a, b in zip(low.tolist(), (high + SPAN).tolist(), strict=True)]
+                row = pa.array(np.array(rows, np.int64)[piece_no])
+                columns = [
+                    chunk.column("doc_id").take(row),
+                    chunk.column("key").take(row),
+                    pa.array(low - starts[piece_no] + np.array(bases, np.int64)[piece_no]),
+                    pa.array((anchor - low).astype(np.int32)),
+                    pa.array((high - low).astype(np.int32)),
+                    pa.array(right.view(np.int64)),
+                    pa.array(left.view(np.int64)),
+                    pa.array(digests, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed(docs).mapInArrow(run, f"doc_id {kind}, key long, low long, off int, span int, right long, left long, digest binary")

@@ -79,6 +79,13 @@ def test_multikey_quicksort():
 def test_repeats_across_many_buckets(spark, bucket):
     from tests.llm.test_queries import removed
 
+    # Texts over SEGMENT bytes are taken in pieces.
+    docs = spark.createDataFrame([(1, "".join(random.Random(5).choices("abcdefgh ", k=suffix_dedup.SEGMENT + 900)))], "doc_id long, text string")
+    long = docs.first()["text"]
+    part = suffix_dedup.SEGMENT
+    docs = docs.union(spark.createDataFrame([(2, "x" + long[part - 700 : part + 700] + "y")], docs.schema))
+    found = {row["doc_id"]: suffix_dedup.merged(row["spans"]) for row in suffix_dedup.repeated_spans(docs, Workspace(spark, "test"), bucket).collect()}
+    assert found == {1: [(part - 700, part + 700)], 2: [(1, 1401)]}
     r = random.Random(bucket)
     base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(300, 900))) for _ in range(6)]
     texts = ["".join(r.choice(base)[r.choice([0, 0, 37]) :] + r.choice(["", "x"]) for _ in range(r.randint(0, 4))) for _ in range(40)]
