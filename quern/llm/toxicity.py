@@ -99,15 +99,17 @@ class BagModel:
         return score
 
 
-def train_bags(doc_of: np.ndarray, sents: np.ndarray, features: np.ndarray, n_features: int, y: np.ndarray, importance: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_bags(doc_of: np.ndarray, sents: np.ndarray, features: np.ndarray, n_features: int, y: np.ndarray, importance: np.ndarray, steps: int = 600, rate: float = 0.1, prior: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias, fitted by Adam on the noisy-or likelihood.
 
     doc_of: document of each sentence. sents, features: sentence and number of each feature that a
-    distinct word of it has. y, importance: label and weight of each document.
+    distinct word of it has. y, importance: label and weight of each document. The pull of weights
+    to zero is prior over the number of documents, so it fades as evidence grows.
     """
     n_docs, n_sents, total = len(y), len(doc_of), importance.sum()
-    prior = float((importance * y).sum() / total)
-    weights, bias = np.zeros(n_features), float(np.log(max(prior, 1e-4) * n_docs / n_sents))
+    ridge = prior / n_docs
+    share = float((importance * y).sum() / total)
+    weights, bias = np.zeros(n_features), float(np.log(max(share, 1e-4) * n_docs / n_sents))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(sents, weights=weights[features], minlength=n_sents)
