@@ -11,7 +11,7 @@ two fingerprints are within the radius exactly if they emit a common point. A po
 Edge cases: null, empty and wordless texts have fingerprint zero and link like any other; texts of
 one or two words hash their whole sequence; rows that repeat a doc_id share a component if their
 fingerprints link; a null doc_id is never the smallest, a component of null ids only has
-component_id null; an empty table gives an empty result. Extra columns pass through keep_one.
+component_id null; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,17 +31,17 @@ from quern.llm.components import components
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 
 
-def shingle_hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     words = text.lower().split()
     if not words:
         return []
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [digest(line, SEED)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[: -SHINGLE].tolist()]
-    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+    starts = [0, *ends[:-size].tolist()]
+    return [digest(line[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
@@ -116,14 +116,6 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, workspace: Workspace) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, or null with no other; columns as they were."""
-    found = near_duplicates(docs, workspace)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    # A merge join at every size, so that the plan doesn't turn over as the table grows.
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "simhash"))
     return found.select("doc_id", as_hex(F.col("print")).alias("fingerprint"), "component_id")
