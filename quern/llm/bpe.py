@@ -6,7 +6,7 @@ product table is computed once. The state before every code point then is an ass
 one-byte monoid elements, done in blocks for whole chunks of texts at once; texts are kept apart by
 an element that resets. Boundaries follow from state, class and one code point of look-ahead, and
 slice the text into pieces. Pieces go through a bounded cache to pair merging by rank. Decoding
-looks up the bytes of each id by its offsets into the vocabulary's bytes.
+looks up the bytes of each id in a table; offsets only serve token_spans, which the query doesn't call.
 
 Edge cases: null and empty texts have no tokens; rows that repeat are encoded each; null ids pass
 through; an empty table gives an empty result. Other columns are not read by the query.
@@ -164,7 +164,7 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class BpeCodec:
-    """Encodes texts piece by piece, decodes ids by offsets into the vocabulary."""
+    """Encodes texts piece by piece, decodes ids by table look-up."""
 
     #: Bounds of the piece cache: entries, and bytes of a piece that enters it. They don't change results.
     CACHE_ENTRIES, CACHE_PIECE = 400_000, 64
