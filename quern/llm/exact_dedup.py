@@ -1,7 +1,7 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
 Every task's rows are a memtable: sorted by digest and flushed as one Parquet run with a bloom
-filter on the digest. Compaction merges the runs to one sorted level that keeps the smallest
+filter on the digest; the filters only serve look-ups outside the query, which doesn't probe them. Compaction merges the runs to one sorted level that keeps the smallest
 identifier and the row count of each digest. Rows whose digest is held by several rows are hits;
 their normalised bytes are compared with those of the kept row, and rows that differ (a digest
 collision) are grouped by their bytes instead.
