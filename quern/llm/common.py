@@ -19,28 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what spark.checkpoint.dir names, else the context's checkpoint folder.
 
-    It is what spark.checkpoint.dir names. Only where that is unset (local runs and tests) a
-    folder of our own is set, which is sound because everything then runs on one machine.
+    Only a local session, where everything runs on one machine, gets a folder of its own if both
+    are unset; on a cluster that would be each machine's own disk, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        root = tempfile.mkdtemp(prefix="quern-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-shared-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 class Workspace:
     """A fresh folder under the shared root for the written tables of one operator call."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str = "work", path: str | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_root(spark).rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 
     def materialise(self, frame: DataFrame, name: str) -> DataFrame:
         """Write frame as a table and reread it: cuts the lineage, survives lost executors."""
@@ -63,3 +63,25 @@ def text_or_empty(column: str = "text") -> Column:
 
 def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
+
+
+#: A group is hot with LEAST_HOT rows at least and more than one in HOT_SHARE of all rows; so fewer than HOT_SHARE groups are.
+HOT_SHARE, LEAST_HOT, COPIES = 1_000, 1_000, 64
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of groups by keys; the rows of a hot group are dealt to COPIES places.
+
+    groups is a written table with one row for each key and the number n of its rows. Names of hot
+    groups (fewer than HOT_SHARE short keys) are broadcast, rows of such a group go by a hash of the
+    columns in spread, and the group's row goes to each place. The rest is a merge join at every
+    size, so that the plan doesn't turn over as tables grow.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    is_hot = (F.col("n") >= LEAST_HOT) & (F.col("n") * HOT_SHARE > total)
+    hot = groups.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
+    place = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(COPIES)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__place", place).drop("__hot")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    copied = groups.withColumn("__place", F.explode(every)).drop("n")
+    return dealt.join(copied.hint("merge"), [*keys, "__place"], how).drop("__place")
