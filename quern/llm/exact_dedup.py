@@ -1,15 +1,21 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
-Every task's rows are a memtable: sorted by digest and flushed as one Parquet run with a bloom
-filter on the digest; the filters only serve look-ups outside the query, which doesn't probe them. Compaction merges the runs to one sorted level that keeps the smallest
-identifier and the row count of each digest. Rows whose digest is held by several rows are hits;
-their normalised bytes are compared with those of the kept row, and rows that differ (a digest
-collision) are grouped by their bytes instead.
+Every task's rows are a memtable: sorted by digest and flushed as one Parquet run. A batch of runs
+waits until compaction merges all that wait and the level before into a new sorted level, one row
+for each digest with the smallest identifier and the number of rows. Beside a level lies its
+filter, a bitmap of fixed size (bitmap.py). A look-up probes the filter first and joins only what
+passes; the filter never misses, and what it passes wrongly the join drops.
+
+The groups of a table come from the level. Rows whose digest several rows hold are hits: probing the
+filter of these digests keeps the other rows' texts out of the join. The normalised bytes of a hit
+are compared with those of the row that is kept, and rows that differ (a digest collision) are
+grouped by their bytes instead. Hot digests are dealt to many places (common.spread_join), also for
+the comparison.
 
 Edge cases: null text counts as empty; rows that repeat a doc_id with equal texts stay together
 (every row that carries keep_id is kept); a null doc_id is larger than any other, and a group of
-null ids only has keep_id null and is kept; an empty table gives an empty result. Other columns
-are not read.
+null ids only has keep_id null and is kept; an empty table gives an empty result. Extra columns pass
+through drop_duplicates, whatever their names; dedup_groups doesn't read them.
 """
 
 from __future__ import annotations
@@ -17,80 +23,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANKS, Workspace, table, text_or_empty
+from quern.llm.bitmap import build_filter, probe_filter
+from quern.llm.common import BLANKS, Workspace, spread_join, table
 
-
-def normalised(column: str = "text") -> Column:
-    return F.regexp_replace(text_or_empty(column), BLANKS, " ")
+def normalised(text: Column | None = None) -> Column:
+    return F.regexp_replace(F.coalesce(F.col("text") if text is None else text, F.lit("")), BLANKS, " ")
 
 
 class DigestIndex:
-    """Runs and the compacted level, under one folder that all executors share."""
+    """Runs that wait and the levels, under one folder that all executors share. The newest level holds all that was compacted."""
 
     RUN = "digest string, doc_id long"
-    LEVEL = "digest string, keep_id long, group_size long"
-
-    def __init__(self, spark: SparkSession, path: str, bloom_values: int = 100_000):
-        self.spark, self.path, self.bloom_values = spark, path, bloom_values
+    LEVEL = "digest string, keep_id long, n long"
+    FILTER = "piece int, bits binary"
 
-    def _write(self, frame: DataFrame, name: str, mode: str) -> None:
-        writer = frame.sortWithinPartitions("digest").write.mode(mode)
-        writer = writer.option("parquet.bloom.filter.enabled#digest", "true")
-        writer.option("parquet.bloom.filter.expected.ndv#digest", str(self.bloom_values)).parquet(f"{self.path}/{name}")
+    def __init__(self, spark: SparkSession, path: str):
+        self.workspace = Workspace(spark, path=path)
+        self.spark, self.waiting, self.batches, self.newest = spark, [], 0, 0
 
-    def flush(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> None:
-        """Append the digests of docs as sorted runs, one per task."""
-        digest = F.sha2(normalised(text_column), 256)
-        self._write(docs.select(digest.alias("digest"), F.col(id_column).cast("long").alias("doc_id")), "runs", "append")
+    def flush(self, docs: DataFrame) -> None:
+        """Write the digests of docs (doc_id, text) as sorted runs, one per task."""
+        name = f"runs-{self.batches}"
+        rows = docs.select(F.sha2(normalised(docs["text"]), 256).alias("digest"), docs["doc_id"].cast("long").alias("doc_id"))
+        self.workspace.materialise(rows.sortWithinPartitions("digest", "doc_id"), name)
+        self.waiting, self.batches = [*self.waiting, name], self.batches + 1
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema(self.RUN).parquet(f"{self.path}/runs")
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.workspace.path}/{name}")
 
     def compact(self) -> None:
-        merged = self.runs().groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        self._write(merged, "level", "overwrite")
+        """Merge the waiting runs and the newest level into the next level and write its filter; the merged ones go."""
+        parts = [self._read(name, self.RUN).select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")) for name in self.waiting]
+        if self.newest:
+            parts.append(self.level())
+        if not parts:
+            return
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        merged = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        old = [*self.waiting, *([f"level-{self.newest}", f"filter-{self.newest}"] if self.newest else [])]
+        level = self.workspace.materialise(merged.sortWithinPartitions("digest"), f"level-{self.newest + 1}")
+        self.workspace.materialise(build_filter(level), f"filter-{self.newest + 1}")
+        self.newest, self.waiting = self.newest + 1, []
+        for name in old:
+            self.workspace.drop(name)
 
     def level(self) -> DataFrame:
-        return self.spark.read.schema(self.LEVEL).parquet(f"{self.path}/level")
+        """digest, keep_id, n."""
+        return self._read(f"level-{self.newest}", self.LEVEL)
 
-    def contains(self, digests: DataFrame) -> DataFrame:
-        """The rows of digests (column digest) that the compacted level holds."""
-        return digests.join(self.level().select("digest"), "digest", "left_semi")
+    def look_up(self, rows: DataFrame) -> DataFrame:
+        """The rows (with a column digest) that the newest level holds, with its keep_id: the filter first, then the join."""
+        passed = probe_filter(rows, self._read(f"filter-{self.newest}", self.FILTER))
+        own = [passed["digest"], *[passed[c] for c in passed.columns if c != "digest"]]
+        held = self.level().select(F.col("digest").alias("__digest"), "keep_id")
+        return passed.join(held, passed["digest"] == held["__digest"]).select(*own, "keep_id")
 
 
 def dedup_groups(docs: DataFrame, index: DigestIndex, workspace: Workspace) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs, among which equal texts are sought. index is a new one."""
     index.flush(docs)
     index.compact()
-    shared = index.level().where("group_size > 1")
-    rows = docs.select("doc_id", normalised().alias("body")).withColumn("digest", F.sha2("body", 256))
-    hits = rows.join(shared.select("digest", "keep_id"), "digest")
+    level = index.level()
+    shared = workspace.materialise(level.where("n > 1"), "shared")
+    bitmap = workspace.materialise(build_filter(shared), "shared-filter")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), normalised(docs["text"]).alias("body")).withColumn("digest", F.sha2("body", 256))
+    sizes = shared.select("digest", "keep_id", "n", F.col("n").alias("size"))
+    hits = spread_join(probe_filter(rows, bitmap), sizes, ["digest"], ["doc_id"])
     hits = workspace.materialise(hits, "hits")
-    held = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("held_body"))
+    held = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("held_body"), F.min("size").alias("n"))
     held = workspace.materialise(held, "held")
     other = F.when(F.col("body") != F.col("held_body"), F.col("body"))
-    checked = hits.join(held, "digest").select("digest", "doc_id", other.alias("other"))
+    checked = spread_join(hits, held, ["digest"], ["doc_id"]).select("digest", "doc_id", other.alias("other"))
     checked = workspace.materialise(checked, "checked")
+    for name in ("hits", "held", "shared-filter"):
+        workspace.drop(name)
     verified = checked.where(F.col("other").isNull()).select("digest", "doc_id")
-    groups = workspace.materialise(
-        verified.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups"
-    )
+    groups = verified.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"), F.count("*").alias("group_size"))
+    groups = workspace.materialise(groups, "groups")
     collided = checked.where(F.col("other").isNotNull())
     collided_groups = collided.groupBy("digest", "other").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    single = index.level().where("group_size = 1").select("digest", F.col("keep_id").alias("doc_id"), "keep_id", "group_size")
-    out = single.unionByName(verified.join(groups, "digest").select("digest", "doc_id", "keep_id", "group_size")).unionByName(
-        collided.join(collided_groups, ["digest", "other"]).select("digest", "doc_id", "keep_id", "group_size")
-    )
+    columns = ["digest", "doc_id", "keep_id", "group_size"]
+    out = level.where("n = 1").select("digest", F.col("keep_id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"))
+    out = out.unionByName(spread_join(verified, groups, ["digest"], ["doc_id"]).select(*columns))
+    out = out.unionByName(collided.join(collided_groups, ["digest", "other"]).select(*columns))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, workspace: Workspace) -> DataFrame:
-    """The rows of docs that stay."""
+    """The rows of docs that stay; columns as they were."""
     groups = dedup_groups(docs, DigestIndex(docs.sparkSession, f"{workspace.path}/index"), workspace)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.sha2(normalised(), 256) == F.col("__digest"))
-    return docs.join(gone, same, "left_anti")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("held")).distinct()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.sha2(normalised(docs["text"]), 256).alias("digest"), row)
+    same = rows["doc_id"].eqNullSafe(gone["gone"]) & (rows["digest"] == gone["held"])
+    return rows.join(gone.hint("merge"), same, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
