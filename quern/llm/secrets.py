@@ -1,15 +1,20 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every version of a text is addressed by its SHA-256. The ledger holds one row per scanned blob and
-rule version; a scan reads only the blobs that the ledger lacks for the present rules, each once
-however many documents carry it, and findings are joined back to all documents.
+Every version of a text is addressed by its SHA-256. The ledger has two tables that only grow:
+versions holds each (path, blob) that was ever recorded, findings one row for each scanned blob and
+rule version. A scan reads only the blobs that the findings lack for the present rules, each once
+however many paths carry it, and findings are joined back to all paths, of the present table or of
+every version on record. A scan that fails or is run by two writers at once may leave a row twice;
+readers take one of each, so no document is doubled.
 
 Spans are code points, end exclusive. A kind's matches are leftmost and non-overlapping; a match
 that fails its kind's length rule is dropped, not retried. Positions are built from the gaps that
-split() leaves between the matches.
+split() leaves between the matches. The paths of a blob that very many carry are dealt to many
+places (common.spread_join).
 
 Edge cases: null and empty texts have no span; rows that repeat a doc_id each get their row; null
-ids pass through; an empty table gives an empty result. Other columns are not read.
+ids pass through; an empty table gives an empty result. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -18,9 +23,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from quern.llm.common import Workspace, table, text_or_empty
+from quern.llm.bitmap import build_filter, probe_filter
+from quern.llm.common import Workspace, spread_join, table
 
 
 def _either_case(words: str) -> str:
@@ -87,49 +94,81 @@ def _count(spans: Column, kind: str) -> Column:
 
 
 class BlobLedger:
-    """Scanned blobs and their findings under one folder; keep the folder to scan incrementally."""
+    """Versions and findings under one folder; keep the folder to scan incrementally."""
 
-    SCHEMA = f"blob string, rule_version string, spans {SPAN}"
+    VERSION = "path string, blob string"
+    FINDING = f"blob string, rule_version string, spans {SPAN}"
 
     def __init__(self, spark: SparkSession, path: str, rules=RULES, rule_version: str = RULE_VERSION):
         self.spark, self.path, self.rules, self.rule_version = spark, path, rules, rule_version
 
-    def scanned(self) -> DataFrame | None:
-        """The rows of the present rule version; None before the first scan."""
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            known = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-        return known.where(F.col("rule_version") == self.rule_version)
-
-    def scan(self, versions: DataFrame) -> None:
-        """Append the findings of the unseen blobs of versions (blob, text)."""
-        unseen = versions.select("blob", "text")
-        known = self.scanned()
-        if known is not None:
-            unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-        once = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-        spans = all_spans(F.col("text"), self.rules)
-        once.select("blob", F.lit(self.rule_version).alias("rule_version"), spans.alias("spans")).write.mode("append").parquet(self.path)
-
-
-def scan_documents(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
-    """doc_id, spans: the findings of every row of docs by way of the ledger."""
-    text = text_or_empty()
-    versions = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
-    ledger.scan(versions)
-    return versions.select("doc_id", "blob").join(ledger.scanned().select("blob", "spans"), "blob", "left").select("doc_id", "spans")
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+    def findings(self) -> DataFrame:
+        """blob, spans of the present rule version, one row for each blob."""
+        own = self._read("findings", self.FINDING).where(F.col("rule_version") == self.rule_version)
+        return own.groupBy("blob").agg(F.first("spans").alias("spans"))
+
+    def versions(self) -> DataFrame:
+        """path, blob: every version on record, once."""
+        return self._read("versions", self.VERSION).distinct()
+
+    def scan(self, texts: DataFrame, workspace: Workspace) -> int:
+        """Append the findings of the unseen blobs of texts (blob, text), once each; the number of blobs that were scanned.
+
+        The unseen blobs are found without texts; a filter over them (bitmap.py) keeps the texts of
+        all others out of the shuffle.
+        """
+        unseen = texts.select("blob").distinct().join(self.findings().select("blob"), "blob", "left_anti")
+        unseen = workspace.materialise(unseen, f"unseen-{self.rule_version}")
+        bitmap = workspace.materialise(build_filter(unseen, "blob"), f"unseen-filter-{self.rule_version}")
+        once = probe_filter(texts.select("blob", "text"), bitmap, "blob").groupBy("blob").agg(F.first("text").alias("text"))
+        once = once.join(unseen.hint("merge"), "blob", "left_semi")
+        found = once.select("blob", F.lit(self.rule_version).alias("rule_version"), all_spans(F.col("text"), self.rules).alias("spans"))
+        found.write.mode("append").parquet(f"{self.path}/findings")
+        return unseen.count()
+
+    def record(self, paths: DataFrame) -> None:
+        """Append the (path, blob) pairs that aren't on record."""
+        fresh = paths.select("path", "blob").where("path is not null").distinct().join(self.versions(), ["path", "blob"], "left_anti")
+        fresh.write.mode("append").parquet(f"{self.path}/versions")
+
+    def historical_findings(self) -> DataFrame:
+        """path, blob, spans of every version on record whose blob was scanned under the present rules."""
+        return self.versions().join(self.findings(), "blob")
+
+
+def addressed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), blob."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+
+
+def scan_documents(docs: DataFrame, ledger: BlobLedger, workspace: Workspace) -> DataFrame:
+    """doc_id, spans: the findings of every row of docs by way of the ledger, in which docs are recorded as present versions."""
+    texts = addressed(docs)
+    ledger.scan(texts, workspace)
+    paths = workspace.materialise(texts.select("doc_id", "blob"), "paths")
+    ledger.record(paths.select(F.col("doc_id").cast("string").alias("path"), "blob"))
+    sizes = paths.groupBy("blob").agg(F.count("*").alias("n"))
+    found = workspace.materialise(sizes.join(ledger.findings(), "blob"), "present")
+    return spread_join(paths, found, ["blob"], ["doc_id"]).select("doc_id", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = BlobLedger(spark, Workspace(spark, "secrets").path)
+    workspace = Workspace(spark, "secrets")
+    ledger = BlobLedger(spark, f"{workspace.path}/ledger")
     spans = F.col("spans")
     n_base = sum(rule.base for rule in RULES)
     base = F.filter(spans, lambda s: s["rank"] < n_base)
     counts = [_count(spans, rule.kind).alias(f"n_{rule.kind}") for rule in RULES if rule.base]
-    found = scan_documents(table(spark, sf_dir, "documents"), ledger)
+    found = scan_documents(table(spark, sf_dir, "documents"), ledger, workspace)
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
