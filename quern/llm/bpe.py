@@ -4,20 +4,29 @@ Pre-tokenisation runs without a regex. Code points map to a few classes by one t
 class is a transition function of a small automaton, and the functions form a finite monoid whose
 product table is computed once. The state before every code point then is an associative scan over
 one-byte monoid elements, done in blocks for whole chunks of texts at once; texts are kept apart by
-an element that resets. Boundaries follow from state, class and one code point of look-ahead, and
-slice the text into pieces. Pieces go through a bounded cache to pair merging by rank. Decoding
-looks up the bytes of each id in a table; offsets only serve token_spans, which the query doesn't call.
+an element that resets. Boundaries follow from state, class and two code points of look-ahead, and
+slice the text into pieces. A long text is taken in segments: pieces match the same from any true
+boundary on, so what follows a segment's last sure boundary is read again with the next segment.
+Pieces go through a bounded cache to pair merging by rank.
+
+The vocabulary is one string of bytes with an offset for each id. Decoding gathers ids by these
+offsets, and the running sum of their lengths tells where each token lies in the text (token_spans).
+
+Memory follows the longest text only by the text itself and the longest piece; ids and decoded
+bytes of the query are hashed segment by segment.
 
 Edge cases: null and empty texts have no tokens; rows that repeat are encoded each; null ids pass
-through; an empty table gives an empty result. Other columns are not read by the query.
+through; an empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +36,8 @@ from quern.llm.arrow import text_chunks, texts_of
 from quern.llm.common import table
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+#: Bytes of text that are scanned at a time. What is decided at a code point depends on fewer than LOOK_AHEAD behind it.
+SEGMENT, LOOK_AHEAD = 1 << 20, 4
 
 # Classes of code points. Those from APOSTROPHE on matter to the contractions 's 't 're 've 'm 'll 'd.
 LETTER, NUMBER, OTHER, SPACE, BLANK, APOSTROPHE, ENDS, R, V, E, L = range(11)
@@ -164,7 +175,7 @@ def boundaries(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class BpeCodec:
-    """Encodes texts piece by piece, decodes ids by table look-up."""
+    """Encodes texts piece by piece, decodes ids by offsets into the vocabulary's bytes."""
 
     #: Bounds of the piece cache: entries, and bytes of a piece that enters it. They don't change results.
     CACHE_ENTRIES, CACHE_PIECE = 400_000, 64
@@ -172,11 +183,15 @@ class BpeCodec:
     def __init__(self, ranks_path: str):
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.words = [b""] * (max(self.ranks.values()) + 1)
+        words = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.words[rank] = token
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.words])])
-        self.bytes = b"".join(self.words)
+            words[rank] = token
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+        self.bytes = np.frombuffer(b"".join(words), np.uint8)
+        self.pair_ranks = np.full(1 << 16, -1, np.int64)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.pair_ranks[token[0] << 8 | token[1]] = rank
         codec = self
 
         class Cache(dict):
@@ -213,32 +228,42 @@ class BpeCodec:
         return [ranks[x] for x in parts]
 
     def _merge_long(self, piece: bytes) -> list[int]:
-        """The same with a heap and linked parts, for pieces where scanning all pairs again costs."""
-        import heapq
+        """The same by a queue of pairs, for pieces where scanning all pairs again costs. Parts are kept as sizes at their starts.
 
+        The first pairs are one sorted array, only pairs that merging makes go to a heap, so a piece
+        of many megabytes takes some tens of bytes for each of its bytes.
+        """
         n, ranks = len(piece), self.ranks
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(ranks[piece[i : i + 2]], i, piece[i : i + 2]) for i in range(n - 1) if piece[i : i + 2] in ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, joint = heapq.heappop(heap)
-            left = parts[i]
-            j = after[i]
-            if left is None or j >= n or left + parts[j] != joint:
-                continue
-            parts[i], parts[j] = joint, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                wider = joint + parts[after[i]]
-                if wider in ranks:
-                    heapq.heappush(heap, (ranks[wider], i, wider))
-            if before[i] >= 0:
-                wider = parts[before[i]] + joint
-                if wider in ranks:
-                    heapq.heappush(heap, (ranks[wider], before[i], wider))
-        return [ranks[x] for x in parts if x is not None]
+        data = np.frombuffer(piece, np.uint8)
+        pairs = self.pair_ranks[(data[:-1].astype(np.int32) << 8) | data[1:]]
+        places = np.flatnonzero(pairs >= 0)
+        first = np.sort((pairs[places] << 32) | places)
+        size, before = array("i", [1]) * n, array("i", range(-1, n - 1))
+        heap: list[int] = []
+        for own in _listed(first):
+            while True:
+                entry = heappop(heap) if heap and heap[0] < own else own
+                if entry == _END:
+                    break
+                i = entry & 0xFFFFFFFF
+                j = i + size[i]
+                if size[i] and j < n and ranks.get(piece[i : j + size[j]]) == entry >> 32:
+                    size[i] += size[j]
+                    size[j] = 0
+                    after, left = i + size[i], before[i]
+                    if after < n:
+                        before[after] = i
+                        if (wider := ranks.get(piece[i : after + size[after]])) is not None:
+                            heappush(heap, wider << 32 | i)
+                    if left >= 0 and (wider := ranks.get(piece[left:after])) is not None:
+                        heappush(heap, wider << 32 | left)
+                if entry == own:
+                    break
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : i + size[i]]])
+            i += size[i]
+        return out
 
     def pieces(self, texts: list[str]) -> Iterator[list[str]]:
         """The pieces of each text, by one scan over all."""
@@ -251,14 +276,51 @@ class BpeCodec:
             own = (cuts[i:j] - base).tolist()
             yield [text[a:b] for a, b in zip(own, [*own[1:], len(text)], strict=True)] if own else []
 
+    def long_pieces(self, text: bytes, segment: int = SEGMENT) -> Iterator[list[str]]:
+        """The pieces of one text, segment by segment."""
+        at, rest, size = 0, "", segment
+        while at < len(text):
+            end = min(at + size, len(text))
+            while end < len(text) and text[end] & 0xC0 == 0x80:
+                end += 1
+            rest += text[at:end].decode()
+            at = end
+            if at == len(text):
+                yield from self.pieces([rest])
+                return
+            cuts = np.flatnonzero(boundaries(np.frombuffer(rest.encode("utf-32-le"), "<u4"), np.zeros(1, np.int64)))
+            cuts = cuts[cuts <= len(rest) - LOOK_AHEAD]
+            own = cuts.tolist()
+            if len(own) > 1:
+                yield [rest[a:b] for a, b in zip(own, own[1:])]
+                rest, size = rest[own[-1] :], segment
+            else:
+                size *= 2  # one piece so far: read on in growing steps
+
+    def encode_parts(self, texts: list[bytes], segment: int = SEGMENT) -> Iterator[Iterator[bytes]]:
+        """For each text its ids as little-endian unsigned 32-bit integers, part by part; to be taken in order."""
+        look_up = self.cache.__getitem__
+        for first, last in _together([len(t) for t in texts], segment):
+            if last - first == 1 and len(texts[first]) > segment:
+                yield (b"".join(map(look_up, own)) for own in self.long_pieces(texts[first], segment))
+            else:
+                for own in self.pieces([t.decode() for t in texts[first:last]]):
+                    yield iter([b"".join(map(look_up, own))])
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        look_up = self.cache.__getitem__
-        for pieces in self.pieces(texts):
-            yield b"".join(map(look_up, pieces))
+        for parts in self.encode_parts([t.encode() for t in texts]):
+            yield b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of ids, gathered from the vocabulary by offset."""
+        at = np.frombuffer(ids, "<u4").astype(np.int64)
+        first = self.offsets[at]
+        sizes = self.offsets[at + 1] - first
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        return self.bytes[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
     def token_spans(self, ids: bytes) -> np.ndarray:
         """Where each token begins in the decoded bytes, and their end."""
@@ -266,6 +328,28 @@ class BpeCodec:
         return np.concatenate([[0], np.cumsum(self.offsets[at + 1] - self.offsets[at])])
 
 
+_END = 1 << 62
+
+
+def _listed(entries: np.ndarray) -> Iterator[int]:
+    """The entries as Python numbers, some at a time, then _END."""
+    for start in range(0, len(entries), 1 << 16):
+        yield from entries[start : start + (1 << 16)].tolist()
+    yield _END
+
+
+def _together(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """First and end of runs of texts that have limit bytes together at most; a longer text is a run of its own."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > limit:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 @lru_cache(2)
 def codec(ranks_path: str) -> BpeCodec:
     return BpeCodec(ranks_path)
@@ -284,7 +368,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for chunk in text_chunks(batches):
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_all([t.decode() for t in texts_of(chunk)])]
+            ids = [np.frombuffer(b"".join(parts), "<u4").view(np.int32) for parts in bpe.encode_parts(texts_of(chunk))]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -298,10 +382,15 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = codec(path)
         for chunk in text_chunks(batches):
             counts, encoded, decoded = [], [], []
-            for ids in bpe.encode_all([t.decode() for t in texts_of(chunk)]):
-                counts.append(len(ids) // 4)
-                encoded.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            for parts in bpe.encode_parts(texts_of(chunk)):
+                count, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in parts:
+                    count += len(ids) // 4
+                    of_ids.update(ids)
+                    of_bytes.update(bpe.decode(ids))
+                counts.append(count)
+                encoded.append(of_ids.hexdigest())
+                decoded.append(of_bytes.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
