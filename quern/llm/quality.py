@@ -12,19 +12,24 @@ The labelled rows are a bounded sample: the max_rows rows with the lowest hash o
 Edge cases: null text has no words and fails the base; a label that is null or whose document is
 missing isn't learned from; several labels for one id are all used; with fewer than two classes
 the list is empty and keeps what passes the base; rows that repeat get equal verdicts; null ids
-pass through; an empty table gives an empty result. Extra columns pass through keep_documents.
+pass through; an empty table gives an empty result. Extra columns pass through keep_documents,
+whatever their names. Texts over BLOCK bytes are measured in blocks, so that memory takes some tens
+of bytes for each word of the longest text.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm.arrow import text_chunks, texts_of
 from quern.llm.common import table
@@ -35,6 +40,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_upper", "n_digits", "n_distinct_words", "longest_word")
 MAX_LABELLED = 20_000
 MIN_WORDS = 50
+BLOCK = 1 << 20
+_BLANK, _SOLID = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -43,50 +50,96 @@ def repeated_words(words: list[bytes]) -> int:
     if len(set(windows)) == len(windows):
         return 0
     counts = Counter(windows)
-    hit = np.fromiter((counts[w] > 1 for w in windows), bool, len(windows))
-    covered = np.zeros(len(words), bool)
+    return _covered(np.fromiter((counts[w] > 1 for w in windows), bool, len(windows)))
+
+
+def _covered(hit: np.ndarray) -> int:
+    covered = np.zeros(len(hit) + 2, bool)
     for k in range(3):
-        covered[k : k + len(windows)] |= hit
+        covered[k : k + len(hit)] |= hit
     return int(covered.sum())
 
 
 def statistics(text: bytes) -> tuple[int, ...]:
+    if len(text) > BLOCK:
+        return _long_statistics(text)
     words = text.split()
     solid = text.translate(None, BLANK_BYTES).decode()
     lines = [line for line in text.split(b"\n") if line.strip()]
     return (
         len(words),
         len(solid),
-        len(text) - len(text.translate(None, SYMBOLS)),
+        _without(text, SYMBOLS),
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
-        len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-        len(text) - len(text.translate(None, b"0123456789")),
+        _without(text, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        _without(text, b"0123456789"),
         len(set(words)),
         max(map(len, words), default=0),
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with a struct column __stats; docs has a column text and any others."""
-    rest = [c for c in docs.columns if c != "text"]
-    row = docs.select(F.struct(F.lit(0).alias("__"), *[docs[c] for c in rest]).alias("__row"), docs["text"].alias("__text"))
-    row_type = row.schema["__row"].dataType.simpleString()
-    names = BASE + EXTRA
+def _without(text: bytes, some: bytes) -> int:
+    return len(text) - len(text.translate(None, some))
+
+
+def _long_statistics(text: bytes, block: int = BLOCK) -> tuple[int, ...]:
+    """The same in blocks that end at blanks. Words and lines are told apart by hash: 64 bits for words, three of them for a window, 128 for lines."""
+    hashes, chars, longest, at = [], 0, 0, 0
+    sums = [0, 0, 0]
+    while at < len(text):
+        blank = _BLANK.search(text, at + block) if at + block < len(text) else None
+        end = blank.start() if blank else len(text)
+        part = text[at:end]
+        words = part.split()
+        hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        # Continuation bytes begin no character.
+        solid = np.frombuffer(part.translate(None, BLANK_BYTES), np.uint8)
+        chars += int(np.count_nonzero((solid & 0xC0) != 0x80))
+        longest = max(longest, max(map(len, words), default=0))
+        sums = [n + _without(part, some) for n, some in zip(sums, (SYMBOLS, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"), strict=True)]
+        at = end
+    word, n_lines, seen = np.concatenate(hashes), 0, set()
+    at = 0
+    while at <= len(text):
+        end = text.find(b"\n", at)
+        end = len(text) if end < 0 else end
+        if _SOLID.search(text, at, end):
+            n_lines += 1
+            seen.add(xxhash.xxh3_128_digest(text[at:end]))
+        at = end + 1
+    return len(word), chars, sums[0], n_lines - len(seen), _repeated_hashes(word), n_lines, sums[1], sums[2], len(np.unique(word)), longest
+
+
+def _repeated_hashes(word: np.ndarray) -> int:
+    if len(word) < 3:
+        return 0
+    windows = np.stack([word[:-2], word[1:-1], word[2:]], axis=1)
+    order = np.lexsort(windows.T)
+    same = (windows[order[1:]] == windows[order[:-1]]).all(axis=1)
+    hit = np.zeros(len(windows), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return _covered(hit)
+
+
+def with_statistics(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """row (the columns of docs as a struct, without the text if that isn't kept), text if it is, and the struct stats."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"))
+    names, kept = BASE + EXTRA, ["row", "text"] if keep_text else ["row"]
+    schema = StructType([*[row.schema[c] for c in kept], StructField("stats", StructType([StructField(n, LongType()) for n in names]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "__text"):
-            columns = list(zip(*map(statistics, texts_of(chunk, "__text")), strict=True))
+        for chunk in text_chunks(batches):
+            columns = list(zip(*map(statistics, texts_of(chunk)), strict=True))
             stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
-            yield pa.RecordBatch.from_arrays([chunk.column("__row"), chunk.column("__text"), stats], ["__row", "__text", "__stats"])
+            yield pa.RecordBatch.from_arrays([*[chunk.column(c) for c in kept], stats], [*kept, "stats"])
 
-    found = row.mapInArrow(run, f"__row {row_type}, __text string, __stats struct<{','.join(f'{n}:bigint' for n in names)}>")
-    columns = [F.col("__text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns]
-    return found.select(*columns, "__stats")
+    return row.mapInArrow(run, schema)
 
 
-def features(stats: str = "__stats") -> dict[str, Column]:
+def features(stats: str = "stats") -> dict[str, Column]:
     """The inputs of the rules: rates, so that a threshold means the same for short and long texts."""
 
     def per(part: str, whole: str) -> Column:
@@ -175,7 +228,10 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def cover(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.8, least: int = 5, max_rules: int = 12, max_tests: int = 4) -> list[Rule]:
-    """Ordered rules that reject. A rule stays if, over grown and pruned rows together, it covers least rows at the asked precision."""
+    """Ordered rules that reject, max_rules at most of max_tests tests each: the size of the model, whatever the data.
+
+    A rule stays if, over grown and pruned rows together, it covers least rows at the asked precision.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     third = np.arange(len(bad)) % 3 == 2
@@ -201,22 +257,22 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select(F.col("doc_id").alias("__id"), "quality").limit(max_rows)
     # At most max_rows pairs of numbers, so the broadcast is bounded.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    measured = with_statistics(chosen)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).drop("__id")
+    measured = with_statistics(chosen, keep_text=False)
     inputs = features()
-    order = F.xxhash64("doc_id").alias("__order")
-    rows = measured.where(~base_failed()).select(order, "quality", *[c.alias(n) for n, c in inputs.items()]).toPandas()
+    order, quality = F.xxhash64("row.doc_id").alias("__order"), F.col("row.quality").alias("quality")
+    rows = measured.where(~base_failed()).select(order, quality, *[c.alias(n) for n, c in inputs.items()]).toPandas()
     rows = rows.sort_values(["__order", "quality", *inputs], kind="stable")
     x = {name: rows[name].to_numpy(float) for name in inputs}
     return cover(x, rows["quality"].to_numpy() == 0, precision)
 
 
-def base_failed(stats: str = "__stats") -> Column:
+def base_failed(stats: str = "stats") -> Column:
     words = F.col(f"{stats}.n_words")
     return (words < MIN_WORDS) | (100 * F.col(f"{stats}.n_repeat_words") > 50 * words)
 
 
-def rejecting_rule(rules: list[Rule], stats: str = "__stats") -> Column:
+def rejecting_rule(rules: list[Rule], stats: str = "stats") -> Column:
     """Number of the first rule that rejects, null if none does: ordered conditionals."""
     inputs = features(stats)
     chain = F.when(F.lit(False), F.lit(0))
@@ -228,20 +284,20 @@ def rejecting_rule(rules: list[Rule], stats: str = "__stats") -> Column:
     return chain
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with __stats, base_failed, rule and kept."""
+def judge(docs: DataFrame, labels: DataFrame, keep_text: bool = False) -> DataFrame:
+    """row and stats (see with_statistics) with base_failed, rule and kept."""
     rules = learn_rules(docs, labels)
-    judged = with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rejecting_rule(rules))
+    judged = with_statistics(docs, keep_text).withColumn("base_failed", base_failed()).withColumn("rule", rejecting_rule(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass the base and every rule; their columns as they were."""
-    rules = learn_rules(docs, labels)
-    return with_statistics(docs).where(~base_failed() & rejecting_rule(rules).isNull()).drop("__stats")
+    kept = judge(docs, labels, keep_text=True).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = judge(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *[F.col(f"__stats.{n}").alias(n) for n in BASE], "base_failed", "kept", "rule")
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *[F.col(f"stats.{n}").alias(n) for n in BASE], "base_failed", "kept", "rule")
