@@ -6,8 +6,10 @@ is scored by noisy-or, 1 - prod(1 - p), and weights are trained from the documen
 that formula. The trained sentence scores then say where the offending sentences are.
 
 Training takes a bounded sample of labelled rows: of each label the max_per_label rows (4,000 by
-default) with the lowest hash of their id, weighted back to the labels' true shares. Everything
-else covers all rows and whole texts. Scores read the text only.
+default) with the lowest hash of their id, weighted back to the labels' true shares. It is written
+once. Features are all words and beginnings that LEAST_DOCS of its documents have and that documents
+of label 1 have more often than chance by LEAST_Z standard errors; there is no limit to their number
+but the sample. Everything else covers all rows and whole texts. Scores read the text only.
 
 Edge cases: null, empty and wordless texts score 0; a null label isn't learned from; without two
 classes all scores are 0; a null doc_id counts as the empty string for the fold and isn't learned
@@ -28,11 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import text_chunks, texts_of
-from quern.llm.common import table
+from quern.llm.common import Workspace, table
 
 MAX_PER_LABEL = 4_000
-MAX_FEATURES = 4_000
-LEAST_Z = 4.0
+LEAST_DOCS, LEAST_Z = 3, 4.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -129,8 +130,9 @@ def fold(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> BagModel:
+def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, workspace: Workspace | None = None) -> BagModel:
     """Train on labelled rows outside the held-out fold."""
+    workspace = workspace or Workspace(docs.sparkSession, "toxicity")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 1)).select("doc_id", "toxic")
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -138,8 +140,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     # At most twice max_per_label pairs of numbers, so the broadcast is bounded.
     sample = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("__id"), "toxic")
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select(F.xxhash64("doc_id").alias("order"), "toxic", "text")
+    chosen = workspace.materialise(chosen, "sample")
 
-    known_features = _telling_features(chosen, kind := labels.schema["toxic"].dataType.simpleString())
+    kind = labels.schema["toxic"].dataType.simpleString()
+    known_features = _telling_features(chosen)
     if not known_features or len(shares) < 2:
         return BagModel({}, -math.inf)
     number = {f: i for i, f in enumerate(known_features)}
@@ -155,6 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
             yield pa.RecordBatch.from_arrays([chunk.column("order"), chunk.column("toxic"), pa.array(bags, pa.binary()), pa.array(sizes, pa.binary())], ["order", "toxic", "features", "sizes"])
 
     rows = chosen.mapInArrow(run, f"order long, toxic {kind}, features binary, sizes binary").toPandas()
+    workspace.drop("sample")
     rows = rows[rows["sizes"].map(len) > 0].sort_values(["order", "toxic", "sizes", "features"], kind="stable")
     sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["sizes"]]
     flat = np.concatenate(sizes)
@@ -167,8 +172,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     return BagModel({f: float(w) for f, w in zip(known_features, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
-def _telling_features(sample: DataFrame, kind: str) -> list[int]:
-    """Hashes of the MAX_FEATURES features that are most over-represented in documents of label 1, by z score."""
+def _telling_features(sample: DataFrame) -> list[int]:
+    """Hashes of the features that are over-represented in documents of label 1, by z score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())  # of this task's share of the sample, which is bounded
@@ -183,14 +188,14 @@ def _telling_features(sample: DataFrame, kind: str) -> list[int]:
         yield pa.RecordBatch.from_arrays(columns, ["feature", "n0", "n1"])
 
     counted = sample.select("toxic", "text").mapInArrow(run, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = counted.where("n0 + n1 >= 3").persist()
+    counted = counted.where(f"n0 + n1 >= {LEAST_DOCS}").persist()
     sizes = counted.where("feature = 0").first()
     if sizes is None or not sizes["n0"] or not sizes["n1"]:
         return []
     share = sizes["n1"] / (sizes["n0"] + sizes["n1"])
     n = F.col("n0") + F.col("n1")
     z = (F.col("n1") - n * share) / F.sqrt(n * (share * (1 - share)))
-    found = counted.where("feature != 0").select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    found = counted.where("feature != 0").select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").collect()
     counted.unpersist()
     return [r["feature"] % (1 << 64) for r in found]
 
