@@ -13,7 +13,8 @@ doubled task leaves an unused file and never a wrong one: only what a finished t
 Edge cases: null html is an empty payload; a null url has the empty key and no target header; a
 null page_id is never a response's name unless its whole group is null; rows that repeat a page_id
 get a record each, and with equal payloads both are responses when that id is the largest; an empty
-table gives an empty result. Other columns are not read.
+table gives an empty result. Other columns are not read, whatever their names. The pages of a payload
+that very many carry are dealt to many places (common.spread_join).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import text_chunks, texts_of
-from quern.llm.common import Workspace, table
+from quern.llm.common import Workspace, spread_join, table
 
 ARCHIVE_BYTES = 1 << 30
 BLOCK_LINES = 2_000
@@ -98,12 +99,12 @@ def parse_record(member: bytes) -> tuple[int | None, int, str, str, int | None,
 
 def with_originals(pages: DataFrame, workspace: Workspace) -> DataFrame:
     """page_id, url, html, refers_to: the page whose payload a page repeats, null for responses."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("__sha"))
-    groups = rows.groupBy("__sha").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
-    groups = workspace.materialise(groups.where("__n > 1").select("__sha", "__last"), "payloads")
-    joined = rows.join(groups.hint("merge"), "__sha", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("__last")), F.col("__last"))
+    html = F.coalesce(pages["html"], F.lit(""))
+    rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"))
+    groups = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    groups = workspace.materialise(groups.where("n > 1"), "payloads")
+    joined = spread_join(rows, groups, ["sha"], ["page_id", "url"], "left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"), url_key(F.col("url")).alias("url_key"))
 
 
