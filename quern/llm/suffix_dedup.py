@@ -8,19 +8,22 @@ that its windows cover. Three steps find all repeated windows:
 1. Blocks that occur twice (128-bit digest) are repeated as a whole.
 2. Other windows can be equal only if their anchors agree in the HALF bytes to the right or to the
    left, so anchors alone with both are done. Of the rest one block of each kind goes on.
-3. Sampled splitters deal these by the leading bytes of the anchor's suffix to buckets, ties by
-   digest, so that one hot suffix spreads over several. A bucket sorts its suffixes by multikey
-   quicksort; neighbours' common prefixes say which windows can repeat, and windows are compared
-   by 128-bit digests. The first and the last group of a bucket may go on next door: their windows
-   are compared across the boundaries, by aggregations over all buckets. STRIPE windows with
-   neighbouring offsets have a core in common, so cores are compared first, and windows only
-   where another bucket has the core.
+3. Sampled splitters range-partition these by the leading bytes of the anchor's suffix, ties by
+   digest, so that one hot suffix spreads over several partitions. There are as many as the session
+   has shuffle partitions, so the sample on the driver doesn't follow the data. A task takes its
+   sorted rows in buckets of BUCKET_ROWS; a bucket sorts its suffixes by multikey quicksort,
+   neighbours' common prefixes say which windows can repeat, and windows are compared by 128-bit
+   digests. The first and the last group of a bucket may go on next door: their windows are compared
+   across the boundaries, by aggregations over all buckets. STRIPE windows with neighbouring offsets
+   have a core in common, so cores are compared first, and windows only where another bucket has the
+   core.
 
 Spans go back to the documents by id. Nothing is capped, and strings are judged on the input.
 
 Edge cases: null text counts as empty; texts under SPAN bytes keep all; rows that repeat a doc_id
 are told apart by their text, rows that repeat both count as two places of the same text; null ids
-pass through; an empty table gives an empty result. Other columns are not read.
+pass through; an empty table gives an empty result. Other columns are not read, whatever their names.
+The places of a digest that very many have are dealt out (common.spread_join).
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import text_chunks, texts_of
-from quern.llm.common import Workspace, table, text_or_empty
+from quern.llm.common import Workspace, spread_join, table
 
 SPAN, GRAM, HALF = 400, 32, 200
 BUCKET_ROWS = 2_000
@@ -126,8 +129,8 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[b
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, text: a hash of the text tells rows of one doc_id apart."""
-    text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
@@ -254,38 +257,40 @@ def repeated_spans(docs: DataFrame, workspace: Workspace, span_bucket: int = BUC
         F.count("*").alias("n"), F.min(place).alias("place"), *[F.min(c).alias(c) for c in ("off", "span", "right", "left")]
     )
     kinds = workspace.materialise(kinds, "kinds")
-    whole = kinds.where("n > 1").select("digest")
-    whole = anchors.join(whole.hint("merge"), "digest").select("doc_id", "key", F.col("low").alias("start"), (F.col("low") + F.col("span") + SPAN).alias("end"))
+    twice = workspace.materialise(kinds.where("n > 1").select("digest", "n"), "twice")
+    whole = spread_join(anchors, twice, ["digest"], ["doc_id", "low"]).select("doc_id", "key", F.col("low").alias("start"), (F.col("low") + F.col("span") + SPAN).alias("end"))
     whole = workspace.materialise(whole, "whole")
     workspace.drop("anchors")
     _settle(spark)
     sides = kinds.select("digest", F.explode(F.array("right", "left")).alias("side")).where("side != 0")
-    shared = workspace.materialise(sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side"), "shared")
-    chosen = workspace.materialise(sides.join(shared.hint("merge"), "side").select("digest").distinct(), "chosen")
+    shared = workspace.materialise(sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    chosen = workspace.materialise(spread_join(sides, shared, ["side"], ["digest"]).select("digest").distinct(), "chosen")
     picked = kinds.join(chosen.hint("merge"), "digest").select("place.*", "off", "span", "digest")
     wanted = picked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("low", "off", "span", "digest")).alias("wanted"))
     blocks = workspace.materialise(cut_blocks(docs, workspace.materialise(wanted, "wanted")), "blocks")
-    for name in ("kinds", "shared", "chosen", "wanted"):
+    for name in ("kinds", "twice", "shared", "chosen", "wanted"):
         workspace.drop(name)
     _settle(spark)
-    found = workspace.materialise(sort_buckets(blocks, -(-blocks.count() // span_bucket) or 1), "found")
+    found = workspace.materialise(sort_buckets(blocks, span_bucket), "found")
     local = found.where("core is null").select("doc_id", "key", "start", "end")
     edge = found.where("core is not null")
     cores = workspace.materialise(_in_several_buckets(edge, "core"), "cores")
-    held = edge.join(cores.hint("merge"), "core").select("doc_id", "key", "start", "bucket", F.explode(F.arrays_zip("places", "windows")).alias("w"))
+    held = spread_join(edge, cores, ["core"], ["doc_id", "start"]).select("doc_id", "key", "start", "bucket", F.explode(F.arrays_zip("places", "windows")).alias("w"))
     held = held.select("doc_id", "key", (F.col("start") + F.col("w.places")).alias("start"), F.col("w.windows").alias("window"), "bucket")
     held = workspace.materialise(held, "held")
     both = workspace.materialise(_in_several_buckets(held, "window"), "both")
-    across = held.join(both.hint("merge"), "window").select("doc_id", "key", "start", (F.col("start") + SPAN).alias("end"))
+    across = spread_join(held, both, ["window"], ["doc_id", "start"]).select("doc_id", "key", "start", (F.col("start") + SPAN).alias("end"))
     spans = whole.unionByName(local).unionByName(across).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = workspace.materialise(spans, "spans")
+    for name in ("blocks", "whole", "found", "cores", "held", "both"):
+        workspace.drop(name)
     _settle(spark)
     return spans
 
 
 def _in_several_buckets(rows: DataFrame, digest: str) -> DataFrame:
-    met = rows.groupBy(digest).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-    return met.where("low != high").select(digest)
+    met = rows.groupBy(digest).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.count("*").alias("n"))
+    return met.where("low != high").select(digest, "n")
 
 
 def _beside(docs: DataFrame, other: DataFrame, keep: str) -> DataFrame:
@@ -313,31 +318,44 @@ def cut_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {kind}, key long, low long, off int, digest binary, block binary")
 
 
-def sort_buckets(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """doc_id, key, start, end of repeated windows; where core is set, windows from start on to compare across buckets."""
-    lead = blocks.withColumn("lead", F.expr("substring(block, off + 1, 64)"))
-    dealt = lead.repartitionByRange(n_buckets, "lead", "digest").drop("lead")
+def sort_buckets(blocks: DataFrame, bucket_rows: int) -> DataFrame:
+    """doc_id, key, start, end of repeated windows; where core is set, windows from start on to compare across buckets.
+
+    Any cut of the sorted rows into buckets is right: what the cut parts is compared across. So a
+    partition is read as a stream of buckets, and no more than one is held.
+    """
+    lead = blocks.withColumn("lead", F.expr(f"substring(block, off + 1, {GRAM})"))
+    dealt = lead.repartitionByRange("lead", "digest").sortWithinPartitions("lead", "digest").drop("lead")
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, bucket_rows):
+                part = batch.slice(start, bucket_rows)
+                if size and size + part.num_rows > bucket_rows:
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if size:
+            yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = [b for b in batches if b.num_rows]
-        if not bucket:
-            return
-        rows = pa.Table.from_batches(bucket)
-        low = rows.column("low").to_numpy()
-        runs, outside = bucket_repeats(rows.column("block").to_pylist(), rows.column("off").to_pylist())
-        number = TaskContext.get().partitionId()
-        found = [(r, a, b + SPAN, None, None, None) for r, a, b in runs] + [(r, 0, 0, *rest) for r, *rest in outside]
-        for start in range(0, len(found), 10_000):
-            at, first, last, core, places, windows = zip(*found[start : start + 10_000], strict=True)
-            base = low[list(at)]
-            index = pa.array(at, pa.int64())
-            columns = [rows.column(c).take(index).combine_chunks() for c in ("doc_id", "key")]
-            columns += [pa.array(base + np.array(first)), pa.array(base + np.array(last)), pa.array([number] * len(at), pa.int32())]
-            columns += [pa.array(core, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "start", "end", "bucket", "core", "places", "windows"])
+        for number, rows in enumerate(buckets(batches), TaskContext.get().partitionId() << 32):
+            low = rows.column("low").to_numpy()
+            runs, outside = bucket_repeats(rows.column("block").to_pylist(), rows.column("off").to_pylist())
+            found = [(r, a, b + SPAN, None, None, None) for r, a, b in runs] + [(r, 0, 0, *rest) for r, *rest in outside]
+            for start in range(0, len(found), 10_000):
+                at, first, last, core, places, windows = zip(*found[start : start + 10_000], strict=True)
+                base = low[list(at)]
+                index = pa.array(at, pa.int64())
+                columns = [rows.column(c).take(index).combine_chunks() for c in ("doc_id", "key")]
+                columns += [pa.array(base + np.array(first)), pa.array(base + np.array(last)), pa.array([number] * len(at), pa.int64())]
+                columns += [pa.array(core, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "start", "end", "bucket", "core", "places", "windows"])
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key long, start long, end long, bucket int, core binary, places array<int>, windows array<binary>"
+    schema = f"doc_id {kind}, key long, start long, end long, bucket long, core binary, places array<int>, windows array<binary>"
     return dealt.mapInArrow(run, schema)
 
 
