@@ -1,24 +1,31 @@
 """Message passing: weighted neighbour sums, gathers, and their backward forms.
 
-The sum has three plans with one answer. long (the default) keeps rows (id, pos, val), so partial
-sums are combined before the shuffle and dense and sparse vectors are treated alike; wide sums one
-column for each entry and suits short vectors; summarizer returns arrays in one aggregate. A source
-without a vector sends no message, and a vertex without a message has no row.
+The sum has three plans with one answer. summarizer (the default) ships one array for each edge
+group and returns (id, vec); wide sums one column for each entry and suits short vectors; long keeps
+rows (id, pos, val), for vectors that are mostly zero or too wide for one row. A source without a
+vector sends no message, and a vertex without a message has no row.
+
+A hub's edges and vector would meet in one task. So the edges of hubs, found by counting, are dealt
+to COPIES places by their other end, and the hub's vector goes to each (join_sent); all other
+vertices are joined as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import scale
+from quern.functions.vectors import add, scale, to_sparse
 from quern.graph import reverse_edges
 
-PLANS = ("long", "wide", "summarizer")
+PLANS = ("summarizer", "wide", "long")
+#: Vertices with HUB_EDGES edges or more at the joined end are hubs, the MOST_HUBS largest if there are more; their edges go to COPIES places.
+HUB_EDGES, MOST_HUBS, COPIES = 100_000, 1_000, 64
 
 
 def _weighted(edges: DataFrame) -> DataFrame:
@@ -26,15 +33,36 @@ def _weighted(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", weight.alias("weight"))
 
 
+def hubs(edges: DataFrame, end: str, least: int = HUB_EDGES, most: int = MOST_HUBS) -> DataFrame:
+    """id of the hubs at an end of the edges: at most most rows, so they can be broadcast."""
+    counts = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.orderBy(F.desc("n"), "id").limit(most).select("id")
+
+
+def join_sent(edges: DataFrame, vertices: DataFrame, at: str, to: str, of_hubs: DataFrame | bool | None = None) -> DataFrame:
+    """edges beside the rows of vertices (id renamed to the end at). of_hubs: ids whose edges are spread, counted here if not given.
+
+    False joins plainly, as a bucketed store without hubs asks for.
+    """
+    if of_hubs is False:
+        return edges.join(vertices.withColumnRenamed("id", at), at)
+    marked = (hubs(edges, at) if of_hubs is None else of_hubs).select(F.col("id").alias(at), F.lit(True).alias("__hub"))
+    place = F.when(F.col("__hub"), F.pmod(F.xxhash64(to), F.lit(COPIES)).cast("int")).otherwise(0)
+    dealt = edges.join(F.broadcast(marked), at, "left").withColumn("__place", place).drop("__hub")
+    side = vertices.withColumnRenamed("id", at).join(F.broadcast(marked), at, "left")
+    places = F.when(F.col("__hub"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(side.withColumn("__place", F.explode(places)).drop("__hub"), [at, "__place"]).drop("__place")
+
+
 def triplets(edges: DataFrame, vertices: DataFrame, fields: str = "src") -> DataFrame:
     """Edges beside the vertex columns they need: src_* and dst_*; only the named ends are joined."""
     if fields not in ("none", "src", "dst", "both"):
         raise ValueError("fields has to be none, src, dst or both")
     out = edges
-    for end in ("src", "dst"):
+    for end, other in (("src", "dst"), ("dst", "src")):
         if fields in (end, "both"):
-            side = vertices.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in vertices.columns if c != "id"])
-            out = out.join(side, end)
+            side = vertices.select("id", *[F.col(c).alias(f"{end}_{c}") for c in vertices.columns if c != "id"])
+            out = join_sent(out, side, end, other)
     return out
 
 
@@ -44,12 +72,36 @@ def aggregate_messages(edges: DataFrame, vertices: DataFrame, message: Column, r
     return sent.groupBy("id").agg(*(reduce if isinstance(reduce, list) else [reduce]))
 
 
+@dataclass(frozen=True)
+class LayerProtocol:
+    """A layer by a user's three functions: the message of a triplet, its reduction at the target, and the vertex's new value.
+
+    message and reduce are column expressions as in aggregate_messages; update takes a frame of the
+    vertices beside their reduced columns (null where no message came) and returns the new vertices.
+    """
+
+    message: Column
+    reduce: list[Column]
+    update: Callable[[DataFrame], DataFrame]
+    fields: str = "src"
+
+    def run(self, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+        return self.update(vertices.join(aggregate_messages(edges, vertices, self.message, self.reduce, "dst", self.fields), "id", "left"))
+
+
 def _entries(vertices: DataFrame, column: str) -> DataFrame:
-    return vertices.where(F.col(column).isNotNull()).select(F.col("id").alias("__v"), F.col(column).alias("__vec"))
+    return vertices.where(F.col(column).isNotNull()).select("id", F.col(column).alias("__vec"))
+
+
+def _array_sum(rows: DataFrame, vector: Column) -> DataFrame:
+    """id, vec: the sum of vectors by id."""
+    return rows.select("id", array_to_vector(vector).alias("m")).groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("m"))).alias("vec"))
 
 
-def _sum(edges: DataFrame, vertices: DataFrame, column: str, at: str, to: str, plan: str, width: int | None) -> DataFrame:
-    sent = _weighted(edges).withColumnRenamed(at, "__v").join(_entries(vertices, column), "__v").select(F.col(to).alias("id"), "weight", "__vec")
+def _sum(edges: DataFrame, vertices: DataFrame, column: str, at: str, to: str, plan: str, width: int | None, of_hubs: DataFrame | bool | None) -> DataFrame:
+    if plan not in PLANS:
+        raise ValueError(f"plan has to be one of {PLANS}")
+    sent = join_sent(_weighted(edges), _entries(vertices, column), at, to, of_hubs).select(F.col(to).alias("id"), "weight", "__vec")
     if plan == "long":
         rows = sent.select("id", "weight", F.posexplode("__vec").alias("pos", "x"))
         return rows.groupBy("id", "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("val"))
@@ -58,75 +110,101 @@ def _sum(edges: DataFrame, vertices: DataFrame, column: str, at: str, to: str, p
             raise ValueError("the wide plan needs the width of the vectors")
         parts = [F.sum(F.col("weight") * F.get("__vec", F.lit(i))).alias(f"x{i}") for i in range(width)]
         return sent.groupBy("id").agg(*parts).select("id", F.array(*[f"x{i}" for i in range(width)]).alias("vec"))
-    if plan == "summarizer":
-        scaled = array_to_vector(scale(F.col("__vec").cast("array<double>"), F.col("weight")))
-        return sent.select("id", scaled.alias("m")).groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("m"))).alias("vec"))
-    raise ValueError(f"plan has to be one of {PLANS}")
+    return _array_sum(sent, scale(F.col("__vec").cast("array<double>"), F.col("weight")))
 
 
-def weighted_sum(edges: DataFrame, vertices: DataFrame, column: str = "feat", plan: str = "long", width: int | None = None) -> DataFrame:
-    """Sum over in-edges of weight times the source's vector: (id, pos, val), or (id, vec) for the other plans."""
-    return _sum(edges, vertices, column, "src", "dst", plan, width)
+def weighted_sum(edges: DataFrame, vertices: DataFrame, column: str = "feat", plan: str = "summarizer", width: int | None = None, of_hubs: DataFrame | bool | None = None) -> DataFrame:
+    """Sum over in-edges of weight times the source's vector: (id, vec), or (id, pos, val) for the long plan."""
+    return _sum(edges, vertices, column, "src", "dst", plan, width, of_hubs)
 
 
-def sparse_sum(edges: DataFrame, sparse: DataFrame) -> DataFrame:
+def sparse_sum(edges: DataFrame, sparse: DataFrame, at: str = "src", to: str = "dst") -> DataFrame:
     """The same from (id, size, indices, values): (id, pos, val) of entries that some message has."""
-    pairs = F.explode(F.arrays_zip(F.col("indices").alias("pos"), F.col("values").alias("x")))
-    entries = sparse.select(F.col("id").alias("src"), pairs.alias("e")).select("src", "e.pos", "e.x")
-    sent = _weighted(edges).join(entries, "src")
-    return sent.groupBy(F.col("dst").alias("id"), "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("val"))
+    sent = join_sent(_weighted(edges), sparse.select("id", F.arrays_zip(F.col("indices").alias("pos"), F.col("values").alias("x")).alias("__pairs")), at, to)
+    rows = sent.select(F.col(to).alias("id"), "weight", F.explode("__pairs").alias("e"))
+    return rows.groupBy("id", F.col("e.pos").alias("pos")).agg(F.sum(F.col("weight") * F.col("e.x")).alias("val"))
 
 
-def backward_reverse(edges: DataFrame, grads: DataFrame, column: str = "grad", plan: str = "long", width: int | None = None) -> DataFrame:
+def backward_reverse(edges: DataFrame, grads: DataFrame, column: str = "grad", plan: str = "summarizer", width: int | None = None, of_hubs: DataFrame | bool | None = None) -> DataFrame:
     """Gradients flow back along reversed edges with the same weights."""
-    return weighted_sum(reverse_edges(_weighted(edges)), grads, column, plan, width)
+    return weighted_sum(reverse_edges(_weighted(edges)), grads, column, plan, width, of_hubs)
 
 
-def backward_forward(edges: DataFrame, grads: DataFrame, column: str = "grad", plan: str = "long", width: int | None = None) -> DataFrame:
+def backward_forward(edges: DataFrame, grads: DataFrame, column: str = "grad", plan: str = "summarizer", width: int | None = None, of_hubs: DataFrame | bool | None = None) -> DataFrame:
     """The same without a reversed table: messages go from dst to src."""
-    return _sum(edges, grads, column, "dst", "src", plan, width)
+    return _sum(edges, grads, column, "dst", "src", plan, width, of_hubs)
+
+
+def backward_sparse(edges: DataFrame, sparse: DataFrame, orientation: str = "reverse") -> DataFrame:
+    """Sparse gradients (id, size, indices, values) back along reversed edges, or from dst to src of the given ones: (id, pos, val)."""
+    if orientation not in ("reverse", "forward"):
+        raise ValueError("orientation has to be reverse or forward")
+    return sparse_sum(reverse_edges(_weighted(edges)), sparse) if orientation == "reverse" else sparse_sum(edges, sparse, "dst", "src")
 
 
 def gather(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted: bool = True) -> DataFrame:
     """id, nbrs: every in-neighbour's message, in order of the neighbour.
 
     A hub's list is as long as its in-degree; sums and other reductions belong in weighted_sum or
-    gather_rows, which never hold a list.
+    gather_rows, which never hold a list, and lists of a bounded length in gather_blocks.
     """
     rows = gather_rows(edges, vertices, column, weighted)
     return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("u", "vec"))).alias("nbrs"))
 
 
+def gather_blocks(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted: bool = True, size: int = 10_000) -> DataFrame:
+    """id, block, nbrs: the messages in lists of about size; a vertex has as many blocks as its in-degree asks for."""
+    n_blocks = edges.groupBy(F.col("dst").alias("id")).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks")).where("n_blocks > 1")
+    rows = gather_rows(edges, vertices, column, weighted).join(n_blocks, "id", "left")
+    block = F.pmod(F.xxhash64("u"), F.coalesce("n_blocks", F.lit(1))).cast("int")
+    return rows.groupBy("id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("u", "vec"))).alias("nbrs"))
+
+
 def gather_rows(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted: bool = True) -> DataFrame:
     """id, u, vec: one row for each message."""
-    sent = _weighted(edges).join(_entries(vertices, column).withColumnRenamed("__v", "src"), "src")
+    sent = join_sent(_weighted(edges), _entries(vertices, column), "src", "dst")
     vec = F.col("__vec").cast("array<double>")
     return sent.select(F.col("dst").alias("id"), F.col("src").alias("u"), (scale(vec, F.col("weight")) if weighted else vec).alias("vec"))
 
 
 def collect_neighbours(edges: DataFrame, vertices: DataFrame, direction: str = "in") -> DataFrame:
-    """id, nbrs: the neighbours' whole rows, along in- or out-edges."""
+    """id, nbrs: the neighbours' whole rows, along in- or out-edges. A list is as long as the degree; neighbour_rows has none."""
+    return neighbour_rows(edges, vertices, direction).groupBy("id").agg(F.array_sort(F.collect_list("nbr")).alias("nbrs"))
+
+
+def neighbour_rows(edges: DataFrame, vertices: DataFrame, direction: str = "in") -> DataFrame:
+    """id, nbr: one row for each neighbour along in- or out-edges, with its whole row as a struct."""
     near, far = ("dst", "src") if direction == "in" else ("src", "dst")
-    side = vertices.select(F.col("id").alias(far), F.struct(*[vertices[c] for c in vertices.columns]).alias("nbr"))
-    return edges.join(side, far).groupBy(F.col(near).alias("id")).agg(F.array_sort(F.collect_list("nbr")).alias("nbrs"))
+    side = vertices.select("id", F.struct(*[vertices[c] for c in vertices.columns]).alias("nbr"))
+    return join_sent(edges.select("src", "dst"), side, far, near).select(F.col(near).alias("id"), "nbr")
 
 
 def sum_gathered(gathered: DataFrame) -> DataFrame:
-    """(id, pos, val) from gathered messages; equals weighted_sum."""
-    rows = gathered.select("id", F.explode("nbrs").alias("n")).select("id", F.posexplode("n.vec").alias("pos", "x"))
-    return rows.groupBy("id", "pos").agg(F.sum("x").alias("val"))
+    """(id, vec) from gathered messages, in whole lists or in blocks; equals weighted_sum."""
+    return _array_sum(gathered.select("id", F.explode("nbrs").alias("n")), F.col("n.vec"))
+
 
+def sum_listed(vectors: Column) -> Column:
+    """Sum of an array of vectors of one width, such as a gathered list that came as JSON; the empty array for none."""
+    width = F.size(F.get(vectors, F.lit(0)))
+    return F.when(F.size(vectors) > 0, F.aggregate(vectors, F.array_repeat(F.lit(0.0), width), add)).otherwise(F.array().cast("array<double>"))
 
-def edge_gradients(edges: DataFrame, edge_grads: DataFrame) -> DataFrame:
-    """u, v, vec: gradients per edge (v, u, vec) of messages u to v, times the edge's weight; multi-edges keep a row each."""
+
+def edge_gradients(edges: DataFrame, edge_grads: DataFrame, weighted: bool = True) -> DataFrame:
+    """u, v, vec: gradients per edge (v, u, vec) of messages u to v, times the edge's weight or 1; multi-edges keep a row each."""
     pairs = _weighted(edges).select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight")
-    return pairs.join(edge_grads, ["u", "v"]).select("u", "v", scale(F.col("vec"), F.col("weight")).alias("vec"))
+    return pairs.join(edge_grads, ["u", "v"]).select("u", "v", (scale(F.col("vec"), F.col("weight")) if weighted else F.col("vec")).alias("vec"))
+
 
+def backward_edge_grads(edges: DataFrame, edge_grads: DataFrame, weighted: bool = True, to: str = "u") -> DataFrame:
+    """(id, vec): per-edge gradients summed at the vertex that sent the message (to u), or at the one that got it (to v)."""
+    return _array_sum(edge_gradients(edges, edge_grads, weighted).withColumnRenamed(to, "id"), F.col("vec"))
 
-def backward_edge_grads(edges: DataFrame, edge_grads: DataFrame) -> DataFrame:
-    """(id, pos, val): per-edge gradients summed at the vertex that sent the message."""
-    rows = edge_gradients(edges, edge_grads).select(F.col("u").alias("id"), F.posexplode("vec").alias("pos", "x"))
-    return rows.groupBy("id", "pos").agg(F.sum("x").alias("val"))
+
+def gather_edge_grads(edges: DataFrame, edge_grads: DataFrame, to: str = "u") -> DataFrame:
+    """id, other, vec: the unweighted gradients per edge as rows of the vertex that sent the message (to u) or got it (to v)."""
+    rows = edge_gradients(edges, edge_grads, weighted=False)
+    return rows.select(F.col(to).alias("id"), F.col("v" if to == "u" else "u").alias("other"), "vec")
 
 
 def assemble(rows: DataFrame, name: str = "vec", width: int | None = None) -> DataFrame:
@@ -145,13 +223,48 @@ def choose_sum(reduction: str) -> Callable[..., DataFrame]:
     return weighted_sum if reduction == "sum" else gather
 
 
-def update_vertices(vertices: DataFrame, updates: DataFrame, column: str) -> DataFrame:
-    """Left outer update: vertices with a row in updates (id, column) take its value, even null; the others keep theirs."""
-    new = updates.select(F.col("id").alias("__id"), F.col(column).alias("__new"), F.lit(True).alias("__hit"))
+def reduce_messages(edges: DataFrame, vertices: DataFrame, column: str = "feat", reduction: str = "sum") -> DataFrame:
+    """id, vec: sum, or the greatest or least message (max, min) entry by entry. choose_sum decides whether messages are listed.
+
+    A gathered list of a hub is taken in blocks, whose results are reduced again.
+    """
+    if choose_sum(reduction) is weighted_sum:
+        return weighted_sum(edges, vertices, column)
+    if reduction not in ("max", "min"):
+        raise ValueError("reduction has to be sum, max or min")
+    pick = F.greatest if reduction == "max" else F.least
+
+    def fold(lists: Column) -> Column:
+        return F.aggregate(F.slice(lists, 2, F.size(lists)), F.get(lists, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: pick(x, y)))
+
+    blocks = gather_blocks(edges, vertices, column).select("id", fold(F.transform("nbrs", lambda n: n["vec"])).alias("vec"))
+    return blocks.groupBy("id").agg(fold(F.collect_list("vec")).alias("vec"))
+
+
+def update_vertices(vertices: DataFrame, updates: DataFrame, *columns: str) -> DataFrame:
+    """Left outer update: vertices with a row in updates (id, columns) take its values, even null; the others keep theirs, or null where there is no such column."""
+    new = updates.select(F.col("id").alias("__id"), F.struct(*columns).alias("__new"))
     joined = vertices.join(new, F.col("id") == F.col("__id"), "left")
-    old = F.col(column) if column in vertices.columns else F.lit(None)
-    value = F.when(F.col("__hit"), F.col("__new")).otherwise(old)
-    return joined.withColumn(column, value).drop("__id", "__new", "__hit")
+    for column in columns:
+        old = F.col(column) if column in vertices.columns else F.lit(None)
+        joined = joined.withColumn(column, F.when(F.col("__new").isNotNull(), F.col("__new").getField(column)).otherwise(old))
+    return joined.drop("__id", "__new")
+
+
+#: The columns that a graph's state has in each form, see update_state.
+STATE_FORMS = {"dense": ("grad",), "gathered": ("nbrs",), "map": ("messages",), "sparse": ("size", "indices", "values")}
+
+
+def update_state(vertices: DataFrame, updates: DataFrame, form: str) -> DataFrame:
+    """update_vertices by the form of what came back: one vector, a list of messages, a map from neighbour to vector, or a sparse vector."""
+    if form not in STATE_FORMS:
+        raise ValueError(f"form has to be one of {sorted(STATE_FORMS)}")
+    return update_vertices(vertices, updates, *STATE_FORMS[form])
+
+
+def as_sparse(rows: DataFrame, column: str = "vec") -> DataFrame:
+    """id, size, indices, values of dense vectors."""
+    return rows.select("id", to_sparse(F.col(column)).alias("s")).select("id", "s.*")
 
 
 def attach_features(vertices: DataFrame, features: DataFrame, column: str = "feat", strict: bool = False) -> DataFrame:

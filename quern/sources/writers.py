@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +10,21 @@ from quern.graph import PropertyGraph, reverse_edges
 
 
 def save_partitioned(graph: PropertyGraph, path: str, partitions: int) -> None:
-    """vertices by id, edges and edges_rev by their own src, so that later joins on src find equal keys together."""
+    """vertices by id, edges and edges_rev by their own src: equal keys share a file, so filters on them read little.
+
+    Plain Parquet has no partitioning that a join could use; save_bucketed has.
+    """
     keep = [c for c in graph.vertices.columns if c not in ("grad", "messages", "in_deg", "out_deg")]
     graph.vertices.select(*keep).repartition(partitions, "id").write.mode("overwrite").parquet(f"{path}/vertices")
     graph.edges.repartition(partitions, "src").write.mode("overwrite").parquet(f"{path}/edges")
     reverse_edges(graph.edges).repartition(partitions, "src").write.mode("overwrite").parquet(f"{path}/edges_rev")
 
 
-def save_bucketed(edges: DataFrame, name: str, buckets: int) -> None:
-    """A table whose joins on src need no shuffle."""
-    edges.write.mode("overwrite").bucketBy(buckets, "src").sortBy("src").saveAsTable(name)
+def save_bucketed(graph: PropertyGraph, name: str, buckets: int) -> None:
+    """Tables name_vertices (by id), name_edges and name_edges_rev (by src) in buckets: joins of edges with vertices on src need no shuffle."""
+    for suffix, frame, key in (("vertices", graph.vertices, "id"), ("edges", graph.edges, "src"), ("edges_rev", reverse_edges(graph.edges), "src")):
+        # One file for each bucket.
+        frame.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{suffix}")
 
 
 def save_plain(graph: PropertyGraph, edge_path: str, vertex_path: str) -> None:
@@ -64,6 +70,20 @@ def save_typed_tsv(graph: PropertyGraph, masks: DataFrame, path: str) -> None:
         _typed(frame).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/{name}.tsv")
 
 
+def save_arrays(spark: SparkSession, arrays: dict[str, np.ndarray], path: str, block: int = 1 << 16) -> None:
+    """name, part, values: flat arrays in blocks."""
+    rows = [(name, part, own[part * block : (part + 1) * block].tolist()) for name, own in arrays.items() for part in range(-(-len(own) // block))]
+    spark.createDataFrame(rows, "name string, part int, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """As large as what save_arrays was given: a model's weights and optimizer state, which live on the driver anyway."""
+    found: dict[str, dict[int, list[float]]] = {}
+    for r in spark.read.parquet(path).collect():
+        found.setdefault(r["name"], {})[r["part"]] = r["values"]
+    return {name: np.concatenate([parts[i] for i in range(len(parts))]) for name, parts in found.items()}
+
+
 def save_weights(spark: SparkSession, weights: dict[str, list], path: str) -> None:
     """name, row, col, value."""
     rows = [(name, i, j, float(x)) for name, matrix in weights.items() for i, row in enumerate(matrix) for j, x in enumerate(row)]
