@@ -170,6 +170,14 @@ def output_moments(outputs: DataFrame, column: str = "emb") -> tuple[np.ndarray,
     return np.array([r["m"] for r in rows]), np.array([r["v"] for r in rows])
 
 
+def standardised(outputs: DataFrame, moments: list[tuple[np.ndarray, np.ndarray] | None], widths: list[int], column: str = "emb") -> DataFrame:
+    """outputs with each model's slice shifted and scaled by its moments (None: left alone), as LayerPass does."""
+    shift = np.concatenate([np.zeros(w) if m is None else m[0] for m, w in zip(moments, widths, strict=True)])
+    shrink = np.concatenate([np.ones(w) if m is None else 1 / np.sqrt(m[1] + 1e-5) for m, w in zip(moments, widths, strict=True)])
+    moved = F.zip_with(column, F.lit(shift.tolist()), lambda x, m: x - m)
+    return outputs.withColumn(column, F.zip_with(moved, F.lit(shrink.tolist()), lambda x, s: x * s))
+
+
 def apply_vertices(rows: DataFrame, fn, schema: str) -> DataFrame:
     """A user's function from Arrow record batches to record batches, for layers that aren't built in."""
 
