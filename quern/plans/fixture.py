@@ -19,10 +19,9 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct pairs of order and part keys, folded onto the vertex ids."""
+    """Distinct pairs of order and part keys of all line items, folded onto the vertex ids."""
     n = table(spark, sf_dir, "embeddings").count()
-    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return first.select((F.col("l_orderkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
 
 
 def graph(spark: SparkSession, sf_dir: str, norm: str = "symmetric", convention: str = "forward") -> PropertyGraph:
@@ -42,7 +41,7 @@ def split_number() -> Column:
 
 
 V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS feat, label FROM embeddings)"
-E0 = "e0 AS (SELECT DISTINCT l_orderkey % n AS src, l_partkey % n AS dst FROM lineitem, (SELECT count(*) AS n FROM embeddings) WHERE l_linenumber = 1)"
+E0 = "e0 AS (SELECT DISTINCT l_orderkey % n AS src, l_partkey % n AS dst FROM lineitem, (SELECT count(*) AS n FROM embeddings))"
 E = "e AS (SELECT src, dst FROM e0 UNION ALL SELECT id, id FROM v)"
 DEG = "od AS (SELECT src AS id, count(*) AS d FROM e GROUP BY 1), ind AS (SELECT dst AS id, count(*) AS d FROM e GROUP BY 1)"
 WEIGHTS = {

@@ -40,12 +40,55 @@ def test_triangle(toy, plan):
 def test_null_vectors_send_nothing(spark, toy):
     v, e = toy
     with_null = v.union(feats_of(spark, [(7, None)]))
-    assert as_dict(pr.assemble(pr.weighted_sum(e.union(edges_of(spark, [(7, 1, 1.0), (9, 0, 1.0)])), with_null))) == {0: [6.0, 8.0], 1: [5.5, 7.0]}
+    assert as_dict(pr.weighted_sum(e.union(edges_of(spark, [(7, 1, 1.0), (9, 0, 1.0)])), with_null)) == {0: [6.0, 8.0], 1: [5.5, 7.0]}
 
 
 def test_gather_sums_to_the_same(toy):
     v, e = toy
-    assert as_dict(pr.assemble(pr.sum_gathered(pr.gather(e, v)))) == as_dict(pr.assemble(pr.weighted_sum(e, v)))
+    assert as_dict(pr.sum_gathered(pr.gather(e, v))) == as_dict(pr.sum_gathered(pr.gather_blocks(e, v, size=1))) == as_dict(pr.weighted_sum(e, v))
+
+
+@pytest.mark.parametrize("plan", pr.PLANS)
+def test_hubs_are_dealt_out(spark, monkeypatch, plan):
+    monkeypatch.setattr(pr, "COPIES", 4)
+    v = spark.range(60).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("feat"))
+    e = spark.createDataFrame([(0, i, 1.0) for i in range(60)] + [(i, i + 1, 2.0) for i in range(59)], "src long, dst long, weight double")
+    assert [r["id"] for r in pr.hubs(e, "src", 10).collect()] == [0] and pr.hubs(e, "src", 10, 0).count() == 0
+    flat = lambda x: as_dict(pr.assemble(x) if plan == "long" else x)
+    want = flat(pr.weighted_sum(e, v, plan=plan, width=2, of_hubs=False))
+    assert flat(pr.weighted_sum(e, v, plan=plan, width=2, of_hubs=pr.hubs(e, "src", 10))) == want == flat(pr.weighted_sum(e, v, plan=plan, width=2))
+    back = pr.backward_forward(e, v, "feat", plan, 2, pr.hubs(e, "dst", 2))
+    assert flat(back) == flat(pr.backward_reverse(e, v, "feat", plan, 2, False))
+
+
+def test_a_bucketed_store_joins_without_a_shuffle(spark):
+    v = spark.range(500).select("id", F.array(F.col("id").cast("double")).alias("feat"))
+    e = spark.range(3000).select((F.col("id") % 500).alias("src"), (F.col("id") * 7 % 500).alias("dst"), F.lit(1.0).alias("weight"))
+    writers.save_bucketed(PropertyGraph(v, e), "stored", 4)
+    graph, rev = readers.load_bucketed(spark, "stored")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = pr.join_sent(graph.edges, graph.vertices, "src", "dst", of_hubs=False)
+        assert joined.count() == 3000 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in pr.join_sent(e, v, "src", "dst", of_hubs=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert as_dict(pr.weighted_sum(graph.edges, graph.vertices, of_hubs=False)) == as_dict(pr.weighted_sum(e, v))
+    assert sorted(map(tuple, rev.collect())) == sorted(map(tuple, reverse_edges(e).collect()))
+
+
+def test_messages_that_arent_summed(toy):
+    v, e = toy
+    assert as_dict(pr.reduce_messages(e, v, reduction="max")) == {0: [6.0, 8.0], 1: [5.0, 6.0]}
+    assert as_dict(pr.reduce_messages(e, v, reduction="min")) == {0: [6.0, 8.0], 1: [0.5, 1.0]}
+    with pytest.raises(ValueError):
+        pr.reduce_messages(e, v, reduction="median")
+
+
+def test_a_layer_by_three_functions(spark, toy):
+    v, e = toy
+    layer = pr.LayerProtocol(F.struct((F.col("weight") * F.col("src_feat")[0]).alias("x")), [F.sum("msg.x").alias("total")], lambda rows: rows.select("id", F.coalesce("total", F.lit(-1.0)).alias("x")))
+    assert {r["id"]: r["x"] for r in layer.run(e, v).collect()} == {0: 6.0, 1: 5.5, 2: -1.0}
 
 
 def test_sparse_sum_equals_dense(spark):
@@ -58,9 +101,12 @@ def test_sparse_sum_equals_dense(spark):
 def test_backward_both_ways_and_adjoint(spark, toy):
     v, e = toy
     g = v.select("id", F.transform("feat", lambda x: x * 2 - 3).alias("grad"))
-    a, b = pr.assemble(pr.backward_reverse(e, g)), pr.assemble(pr.backward_forward(e, g))
+    a, b = pr.backward_reverse(e, g), pr.backward_forward(e, g)
     assert as_dict(a) == as_dict(b)
-    forward, back = as_dict(pr.assemble(pr.weighted_sum(e, v))), as_dict(a)
+    forward, back = as_dict(pr.weighted_sum(e, v)), as_dict(a)
+    sparse = pr.as_sparse(g, "grad")
+    for orientation in ("reverse", "forward"):
+        assert as_dict(pr.assemble(pr.backward_sparse(e, sparse, orientation), width=2)) == back
     x, y = as_dict(v, "feat"), as_dict(g, "grad")
     assert sum(np.dot(forward[i], y[i]) for i in forward) == pytest.approx(sum(np.dot(x[i], back[i]) for i in back))
 
@@ -68,7 +114,8 @@ def test_backward_both_ways_and_adjoint(spark, toy):
 def test_edge_gradients_keep_multi_edges(spark):
     e = edges_of(spark, [(0, 1, 1.0), (0, 1, 1.0)])
     grads = spark.createDataFrame([(1, 0, [1.0, 2.0])], "v long, u long, vec array<double>")
-    assert as_dict(pr.assemble(pr.backward_edge_grads(e, grads))) == {0: [2.0, 4.0]}
+    assert as_dict(pr.backward_edge_grads(e, grads)) == {0: [2.0, 4.0]} and as_dict(pr.backward_edge_grads(e, grads, to="v")) == {1: [2.0, 4.0]}
+    assert [tuple(r) for r in pr.gather_edge_grads(e, grads, "v").collect()] == [(1, 0, [1.0, 2.0])] * 2
 
 
 def test_star_degrees_and_clamp(spark):
@@ -95,6 +142,25 @@ def test_grid(spark):
     assert g.vertices.count() == 6 and sorted((r["src"], r["dst"]) for r in g.edges.collect()) == [(0, 1), (0, 3), (1, 2), (1, 4), (2, 5), (3, 4), (4, 5)]
 
 
+def test_enough_draws_for_a_bound(spark):
+    assert generate.tries_needed(4.0, 1.3, 1 << 40) == 1 and generate.tries_needed(4.0, 1.3, 2) > 4000
+    degrees = structure.out_degrees(generate.lognormal_graph(spark, 3, 4.0, 1.3)).collect()
+    assert {r["out_deg"] for r in degrees} <= {1, 2}
+
+
+def test_lowest_of_many(spark):
+    rows = spark.range(0, 9000, 7)
+    for n in (1, 2, 100, 1200, rows.count()):
+        assert generate._lowest(rows, n, 9000, fan=5).count() == n
+        assert generate._lowest(rows, n, 9000).agg(F.max("id")).first()[0] == 7 * (n - 1)
+
+
+def test_a_seeded_split_doesnt_depend_on_partitions(spark):
+    split = lambda rows: {r["id"]: r["s"] for r in rows.select("id", structure.seeded_split(0.7, 5).alias("s")).collect()}
+    found = split(spark.range(3000).repartition(7))
+    assert found == split(spark.range(3000)) and 0.66 < sum(s == 0 for s in found.values()) / 3000 < 0.74
+
+
 def test_random_generators(spark):
     e = generate.rmat_graph(spark, 64, 200)
     assert e.count() == 200 == e.distinct().count() and e.agg(F.max(F.greatest("src", "dst"))).first()[0] < 64
@@ -107,6 +173,8 @@ def test_khop(spark):
     e = edges_of(spark, [(3, 2, 1.0), (2, 1, 1.0), (1, 0, 1.0), (5, 0, 1.0)])
     found = {r["id"]: r["hop"] for r in structure.khop_in(e, spark.createDataFrame([(0,)], "id long"), 2).collect()}
     assert found == {0: 0, 1: 1, 5: 1, 2: 2}
+    chain = edges_of(spark, [(i + 1, i, 1.0) for i in range(9)])
+    assert {r["id"]: r["hop"] for r in structure.khop_in(chain, spark.range(1), 7).collect()} == {i: i for i in range(8)}
 
 
 def test_masks_of_unsplit_vertices(spark):
@@ -146,6 +214,14 @@ def test_gather_codec_without_neighbours(spark):
 def test_pairs_to_map_keeps_the_last(spark):
     rows = spark.createDataFrame([([(1, 2.0), (1, 3.0)],)], "p array<struct<u:long,x:double>>")
     assert rows.select(vectors.pairs_to_map(F.col("p"), "u", "x").alias("m")).first()["m"] == {1: 3.0}
+    rows = spark.createDataFrame([([(i % 4000, float(i)) for i in range(9000)],), ([],)], "p array<struct<u:long,x:double>>")
+    many, none = (r["m"] for r in rows.select(vectors.pairs_to_map(F.col("p"), "u", "x").alias("m")).collect())
+    assert none == {} and len(many) == 4000 and many[0] == 8000.0 and many[3999] == 7999.0
+
+
+def test_sum_of_a_list_of_vectors(spark):
+    rows = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([],)], "n array<array<double>>")
+    assert [r["s"] for r in rows.select(pr.sum_listed(F.col("n")).alias("s")).collect()] == [[4.0, 6.0], []]
 
 
 def test_empty_accuracy_is_zero(spark):
@@ -225,6 +301,80 @@ def test_batched_models_equal_single_runs(spark):
             assert both.history.value(1, k, name) == pytest.approx(one.history.value(1, 0, name))
 
 
+def numpy_history(spark, graph, targets, spec, epochs):
+    """Losses of a run in plain numpy: dense matrices, the same start."""
+    x = np.array([r["feat"] for r in graph.vertices.orderBy("id").collect()])
+    a = np.zeros((8, 8))
+    for r in graph.edges.collect():
+        a[r["dst"], r["src"]] += r["weight"]
+    rows = targets.orderBy("id").collect()
+    y, mask = np.array([r["label"] for r in rows]), np.array([r["train_mask"] for r in rows], float)
+    (w0, b0), (w1, b1) = (layer[0] for layer in neural.init_weights(spec))
+    parts, step, losses = [w0, b0, w1, b1], optimizer(spec.optimizer, spec.lr, spec.weight_decay), []
+    for _ in range(epochs):
+        w0, b0, w1, b1 = parts
+        g0 = a @ x
+        z0 = g0 @ w0 + b0
+        g1 = a @ np.where(z0 > 0, z0, 0.01 * z0)
+        z1 = g1 @ w1 + b1
+        p = np.exp(z1) / np.exp(z1).sum(axis=1, keepdims=True)
+        losses.append(-(np.log(p[np.arange(8), y]) * mask).sum() / mask.sum())
+        d1 = (p - np.eye(2)[y]) * mask[:, None] / mask.sum()
+        d0 = (a.T @ (d1 @ w1.T)) * np.where(z0 > 0, 1, 0.01)
+        grads = [g0.T @ d0, d0.sum(axis=0), g1.T @ d1, d1.sum(axis=0)]
+        flat = step.step(np.concatenate([q.ravel() for q in parts]), np.concatenate([q.ravel() for q in grads]))
+        cuts = np.cumsum([q.size for q in parts])[:-1]
+        parts = [part.reshape(q.shape) for part, q in zip(np.split(flat, cuts), parts, strict=True)]
+    return losses
+
+
+@pytest.mark.parametrize("name", ["adamw", "adagrad", "lbfgs"])
+def test_training_equals_numpy_and_resumes(spark, name):
+    graph, targets = small_problem(spark)
+    spec = neural.ModelSpec((3, 5, 2), optimizer=name, lr=0.05)
+    whole = train.Trainer(graph, targets, [spec], storage="MEMORY_ONLY")
+    losses = [whole.fit(3).value(e, 0, "loss") for e in range(3)]
+    assert losses == pytest.approx(numpy_history(spark, graph, targets, spec, 3))
+    first = train.Trainer(graph, targets, [spec])
+    first.fit(1)
+    folder = shared_folder(spark, "state")
+    first.save(folder)
+    second = train.Trainer(graph, targets, [neural.ModelSpec((3, 5, 2), optimizer=name, lr=0.05, seed=9)])
+    second.load(folder)
+    assert [second.fit(3).value(e, 0, "loss") for e in range(3)] == pytest.approx(losses, rel=1e-12) and second.done == 3
+
+
+def test_gradients_in_several_blocks(spark, monkeypatch):
+    graph, targets = small_problem(spark)
+    spec = neural.ModelSpec((3, 4, 2), "gin", mlp_hidden=3, normalise=True)
+    want, _ = train.Trainer(graph, targets, [spec]).gradients(0)
+    monkeypatch.setattr(train, "BLOCK", 5)
+    got, _ = train.Trainer(graph, targets, [spec]).gradients(0)
+    for a, b in zip(want[0], got[0], strict=True):
+        assert np.allclose(train.flatten(a), train.flatten(b))
+
+
+def test_a_closure_lets_the_loss_fall(spark):
+    graph, targets = small_problem(spark)
+    trainer = train.Trainer(graph, targets, [neural.ModelSpec((3, 4, 2), optimizer="lbfgs", lr=1.0)])
+    losses = trainer.fit_closure(steps=3)
+    assert losses[0] >= losses[1] >= losses[2] and losses[2] < 0.7
+    with pytest.raises(ValueError):
+        train.Trainer(graph, targets, [neural.ModelSpec((3, 4, 2))]).fit_closure()
+
+
+def test_normalised_layers_have_no_mean(spark):
+    graph, targets = small_problem(spark)
+    spec = neural.ModelSpec((3, 4, 2), normalise=True)
+    raw = neural.layer_forward(train.Trainer(graph, targets, [spec]).first, [spec], [neural.init_weights(spec)], 0, 0, True)
+    mean, var = neural.output_moments(raw)
+    out = neural.standardised(raw, [(mean, var)], [4])
+    again = neural.output_moments(out)
+    assert np.allclose(again[0], 0) and np.allclose(again[1], var / (var + 1e-5))
+    same = neural.layer_forward(train.Trainer(graph, targets, [spec]).first, [spec], [neural.init_weights(spec)], 0, 0, True, [(mean, var)])
+    assert as_dict(same, "emb") == as_dict(out, "emb")
+
+
 def test_loss_falls(spark):
     graph, targets = small_problem(spark)
     trainer = train.Trainer(graph, targets, [neural.ModelSpec((3, 8, 2), lr=0.1)])
