@@ -1,7 +1,10 @@
 """The parts that the operators are made of."""
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -9,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, components, exact_dedup, mixing, quality, secrets, simhash, suffix_dedup, toxicity, warc
+from quern.llm import bitmap, bpe, common, components, exact_dedup, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from quern.llm.common import Workspace
 
 
@@ -138,26 +141,146 @@ def test_toxicity_by_words_and_beginnings(spark, tmp_path):
     assert toxicity.learn(docs, labels.where("toxic = 0")).weights == {}
 
 
-def test_ledger_scans_a_blob_once_for_each_rule_version(spark, odd_docs):
-    path = Workspace(spark, "test").path
+def test_ledger_scans_only_unseen_blobs_of_each_rule_version(spark, odd_docs):
+    workspace = lambda: Workspace(spark, "test")
+    path = workspace().path
     ledger = secrets.BlobLedger(spark, path)
-    first = secrets.scan_documents(odd_docs, ledger).count()
-    blobs = spark.read.parquet(path).count()
-    assert first == odd_docs.count() and blobs == odd_docs.select(F.coalesce("text", F.lit(""))).distinct().count()
-    secrets.scan_documents(odd_docs, ledger)
-    assert spark.read.parquet(path).count() == blobs
-    secrets.scan_documents(odd_docs, secrets.BlobLedger(spark, path, rule_version="next"))
-    assert spark.read.parquet(path).count() == 2 * blobs
+    texts = lambda: {r["text"] or "" for r in odd_docs.select("text").collect()}
+    assert secrets.scan_documents(odd_docs, ledger, workspace()).count() == odd_docs.count()
+    assert ledger.findings().count() == len(texts())
+    # A second version of the table: one text changes, one document is new.
+    key = "token = abcdefghijkl"
+    changed = odd_docs.select("doc_id", F.when(F.col("doc_id") == 3, F.lit(key)).otherwise(F.col("text")).alias("text"))
+    changed = changed.union(spark.createDataFrame([(500, "nothing new here")], changed.schema))
+    scanned = secrets.addressed(changed)
+    assert ledger.scan(scanned, workspace()) == 2 and ledger.scan(scanned, workspace()) == 0
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_documents(changed, ledger, workspace()).collect()}
+    assert [s["kind"] for s in found[3]] == ["assign"] and found[500] == []
+    history = [r for r in ledger.historical_findings().collect() if r["path"] == "3"]
+    assert sorted(len(r["spans"]) for r in history) == [0, 1]
+    following = secrets.BlobLedger(spark, path, rule_version="next")
+    assert following.scan(scanned, workspace()) == scanned.select("blob").distinct().count()
+
+
+def test_a_blob_that_two_scanners_wrote_counts_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "password=abcdefghijkl")], "doc_id long, text string")
+    ledger = secrets.BlobLedger(spark, Workspace(spark, "test").path)
+    first = {r["doc_id"]: r["spans"] for r in secrets.scan_documents(docs, ledger, Workspace(spark, "test")).collect()}
+    for name in ("findings", "versions"):
+        twice = [tuple(r) for r in spark.read.parquet(f"{ledger.path}/{name}").collect()]
+        spark.createDataFrame(twice, getattr(ledger, {"findings": "FINDING", "versions": "VERSION"}[name])).write.mode("append").parquet(f"{ledger.path}/{name}")
+    again = secrets.scan_documents(docs, ledger, Workspace(spark, "test")).collect()
+    assert len(again) == 3 and {r["doc_id"]: r["spans"] for r in again} == first
+    assert ledger.historical_findings().count() == 3
 
 
 def test_index_runs_are_compacted_to_the_smallest_id(spark):
     index = exact_dedup.DigestIndex(spark, Workspace(spark, "test").path)
+    digests = spark.createDataFrame([("c", 1), ("x", 2), ("a b", 3)], "t string, tag int").select(F.sha2("t", 256).alias("digest"), "tag")
     for rows in ([(5, "a b"), (7, "c")], [(3, "a  b"), (9, "c")]):
         index.flush(spark.createDataFrame(rows, "doc_id long, text string"))
     index.compact()
-    assert sorted((r["keep_id"], r["group_size"]) for r in index.level().collect()) == [(3, 2), (7, 2)]
-    digests = spark.createDataFrame([("c",), ("x",)], "t string").select(F.sha2("t", 256).alias("digest"))
-    assert index.contains(digests).count() == 1
+    assert sorted((r["keep_id"], r["n"]) for r in index.level().collect()) == [(3, 2), (7, 2)]
+    assert sorted(map(tuple, index.look_up(digests).select("tag", "keep_id").collect())) == [(1, 7), (3, 3)]
+    index.flush(spark.createDataFrame([(1, "c"), (8, "x"), (None, "x")], "doc_id long, text string"))
+    index.compact()
+    index.compact()
+    assert sorted((r["keep_id"], r["n"]) for r in index.level().collect()) == [(1, 3), (3, 2), (8, 2)]
+    assert sorted(map(tuple, index.look_up(digests).select("tag", "keep_id").collect())) == [(1, 1), (2, 8), (3, 3)]
+
+
+def test_filters_never_miss(spark):
+    rows = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    built = bitmap.build_filter(rows.where("id < 1000"))
+    passed = [r["id"] for r in bitmap.probe_filter(rows, built).collect()]
+    assert set(range(1000)) <= set(passed) and len(passed) < 1010
+    assert bitmap.probe_filter(rows, bitmap.build_filter(rows.limit(0))).count() == 0
+
+
+def test_a_hot_group_is_dealt_out_and_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    groups = Workspace(spark, "test").materialise(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")), "groups")
+    joined = common.spread_join(rows, groups.where("k < 4000"), ["k"], ["id"])
+    assert joined.columns == ["k", "id", "low"]
+    assert joined.count() == rows.where("k < 4000").count() and joined.select("id").distinct().count() == joined.count()
+    assert joined.where("k = 0 and low != 0").count() == 0
+    left = common.spread_join(rows, groups.where("k < 4000"), ["k"], ["id"], "left")
+    assert left.count() == 5000 and left.where("low is null").count() == rows.where("k >= 4000").count()
+
+
+def long_text(n):
+    r = random.Random(n)
+    words = ["".join(r.choice("abcdefghijklmnopé") for _ in range(r.randint(1, 9))) for _ in range(500)] + ["'s", "  ", "\n", "!!", "12", "we've", "Ab9"]
+    out = []
+    while sum(map(len, out[-1:])) + len(out) < n:
+        out.append(r.choice(words))
+    return " ".join(out)
+
+
+def test_long_texts_in_blocks_equal_the_whole():
+    text = long_text(20_000)
+    raw, codec = text.encode(), bpe.codec(bpe.ranks_path())
+    whole = list(codec.pieces([text]))[0]
+    for segment in (7, 100, 4096, 1 << 20):
+        assert [p for part in codec.long_pieces(raw, segment) for p in part] == whole
+        parts = list(map(b"".join, codec.encode_parts([b"x", raw, b"", raw[:50].decode(errors="ignore").encode()], segment)))
+        assert parts[1] == next(codec.encode_all([text])) and len(parts) == 4
+    for size in (1, 3, 5):
+        want = np.sort(simhash.shingle_hashes(raw.lower().split(), size))
+        for block in (1, 50, 5000):
+            assert np.array_equal(np.sort(np.concatenate(list(simhash.text_hashes(raw, size, block)))), want)
+    texts = [b"", b" ", b"a", b"a b", b"A b c d", raw, raw[:9]]
+    assert all(np.array_equal(simhash.fingerprints_of(texts, 3, block), simhash.fingerprints_of(texts)) for block in (1, 64, 4000))
+    lines = raw + b"\n\n" + raw[:3000] + b"\nx y z x y z\n"
+    assert all(quality._long_statistics(lines, block) == quality.statistics(lines) for block in (1, 300, 1 << 20))
+
+
+def test_one_long_piece_merges_as_in_the_library():
+    import public_tokenizers as P
+    import tiktoken
+
+    codec, r = bpe.codec(bpe.ranks_path()), random.Random(11)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for text in ("a" * 5000, "ab" * 3000, "".join(r.choice("abcdetinors") for _ in range(70_000)), "é中" * 2000, "=" * 129, "".join(map(chr, range(0x4E00, 0x4E00 + 900)))):
+        assert np.frombuffer(next(codec.encode_all([text])), "<u4").tolist() == enc.encode_ordinary(text)
+
+
+def test_memory_doesnt_follow_a_long_text():
+    """A text of 24 MB: peak memory over what the imports take, in a process of its own."""
+    code = """
+import resource, sys
+from quern.llm import bpe, quality, simhash
+import hashlib, random
+r = random.Random(1)
+words = [("w%x" % r.randrange(1 << 30)).encode() for _ in range(50_000)]
+text = b" ".join(r.choice(words) for _ in range(24_000_000 // 9))
+codec = bpe.codec(bpe.ranks_path())
+bpe.class_table()
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+kind = sys.argv[1]
+if kind == "bpe":
+    h = hashlib.sha256()
+    for part in next(codec.encode_parts([text])):
+        h.update(codec.decode(part))
+    assert h.digest() == hashlib.sha256(text).digest()
+elif kind == "simhash":
+    simhash.fingerprints_of([text])
+else:
+    quality.statistics(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for kind in ("bpe", "simhash", "quality"):
+        out = subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True, cwd=root, check=True)
+        assert int(out.stdout.split()[-1]) < 350, (kind, out.stdout)
+
+
+def test_many_lines_take_linear_time(spark):
+    lines = [f"line {i % 30_000} of many" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:200]))], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs, Workspace(spark, "test")).collect()}
+    assert found == {1: "\n".join(lines[:30_000]), 2: ""}
 
 
 def test_exact_dedup_keeps_other_columns(spark, odd_docs):

@@ -5,9 +5,10 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from quern.llm import quality, simhash
+from quern.llm import quality
 from quern.llm.common import Workspace, table
-from tests.llm.test_queries import WORD, fingerprint, quality_base
+from tests.llm.test_near_dedup import shingles, similar
+from tests.llm.test_queries import lines_left, quality_base, rejected
 
 
 @pytest.fixture(scope="module")
@@ -35,41 +36,30 @@ def test_names_and_columns(stages, odd_docs):
 def test_quality_rejects_the_base_and_the_rules(spark, odd_dir, stages):
     before, after = stages["quality rules"]
     rules = quality.learn_rules(before, table(spark, odd_dir, "labels"))
-    inputs = ["words", "chars_per_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "distinct_rate", "words_per_line", "longest_word"]
     want = Counter()
     for r in before.select("doc_id", "text").collect():
-        n, chars, symbols, dup, repeat, lines, upper, digits, distinct, longest = quality.statistics((r["text"] or "").encode())
-        per = lambda a, b: a / max(b, 1)
-        x = dict(zip(inputs, [n, per(chars, n), per(symbols, chars), per(dup, lines), per(repeat, n), per(upper, chars), per(digits, chars), per(distinct, n), per(n, lines), longest], strict=True))
-        rejected = any(all((x[t.feature] > t.threshold) == t.above for t in rule) for rule in rules)
-        want[r["doc_id"]] += not quality_base(r["text"])[5] and not rejected
+        want[r["doc_id"]] += not quality_base(r["text"])[5] and not rejected(r["text"], rules)
     assert ids(after) == Counter({k: v for k, v in want.items() if v})
 
 
 def test_lines_go_and_rows_stay(stages):
     before, after = stages["line dedup"]
     assert ids(before) == ids(after)
-    order = lambda r: (r[0] is None, r[0] or 0)
-    seen, want = set(), {}
-    for doc_id, text in sorted({(r["doc_id"], r["text"] or "") for r in before.collect()}, key=order):
-        lines = text.split("\n")
-        counted, gone = [(k, x) for k, x in enumerate(lines) if WORD.search(x)], set()
-        for (a, x), (b, y) in zip(counted, counted[1:]):
-            gone |= {a, b} if (x, y) in seen else set()
-            seen.add((x, y))
-        want[doc_id] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    assert all(r["text"] == want[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in after.collect())
-
-
-def test_one_of_each_group_stays(spark, stages):
+    rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
+    gone = lines_left(rows)
+    want = {row: "\n".join(x for k, x in enumerate((row[1] or "").split("\n")) if k not in gone[row]) for row in rows}
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in after.collect()) == Counter((i, want[i, t], len(want[i, t])) for i, t in rows)
+
+
+def test_one_of_each_group_stays(stages):
+    """Groups of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
     before, after = stages["simhash near-dedup"]
-    rows = [(r["doc_id"], fingerprint(r["text"])) for r in before.select("doc_id", "text").collect()]
+    rows = [(r["doc_id"], shingles(r["text"])) for r in before.select("doc_id", "text").collect()]
     groups: list[list] = []
     for row in rows:
-        near = [g for g in groups if any(bin(row[1] ^ fp).count("1") <= 2 for _, fp in g)]
+        near = [g for g in groups if any(similar(row[1], own) for _, own in g)]
         groups = [g for g in groups if g not in near] + [[row, *(x for g in near for x in g)]]
     assert set(ids(after)) == {min((i for i, _ in g if i is not None), default=None) for g in groups}
-    assert simhash.near_duplicates(before, Workspace(spark, "test")).count() == len(rows)
 
 
 def test_mix_takes_copies_of_what_there_is(stages):

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 import xxhash
 
-from quern.llm import registry
+from quern.llm import quality, registry
 
 DATA = os.environ.get("QUERN_SMOKE_DIR", "/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,7 +86,28 @@ def quality_base(text):
 def test_quality(spark, folder):
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert result(spark, "op2_quality_rules", folder, *names) == Counter((i, *quality_base(t)) for i, t in rows_of(spark, folder))
-    assert not [r for r in result(spark, "op2_quality_rules", folder, "base_failed", "kept") if r[0] and r[1]]
+    rules = quality.learn_rules(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    want = Counter((i, not quality_base(t)[5] and not rejected(t, rules)) for i, t in rows_of(spark, folder))
+    assert result(spark, "op2_quality_rules", folder, "doc_id", "kept") == want
+
+
+def quality_inputs(text):
+    """The inputs of the rules, counted anew."""
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, repeat, _ = quality_base(text)
+    upper, digits = len(re.findall("[A-Z]", text)), len(re.findall("[0-9]", text))
+    per = lambda a, b: a / max(b, 1)
+    return {
+        "words": n, "chars_per_word": per(chars, n), "symbol_rate": per(symbols, chars), "dup_line_rate": per(dup, len(lines)), "repeat_rate": per(repeat, n),
+        "upper_rate": per(upper, chars), "digit_rate": per(digits, chars), "distinct_rate": per(len(set(words)), n), "words_per_line": per(n, len(lines)),
+        "longest_word": max((len(w.encode()) for w in words), default=0),
+    }
+
+
+def rejected(text, rules):
+    x = quality_inputs(text)
+    return any(all((x[t.feature] > t.threshold) == t.above for t in rule) for rule in rules)
 
 
 def fingerprint(text):
@@ -159,19 +180,27 @@ def test_mixing_bounds(spark, folder):
     assert result(spark, "op6_mix_sources", folder) == Counter(map(tuple, found))
 
 
+def lines_left(rows):
+    """For each (doc_id, text) what goes: of equal runs of two worded lines, and of equal lines of 50 words or more, all but the first."""
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    seen, gone = set(), defaultdict(set)
+    for row in sorted(set(rows), key=order):
+        lines = [(k, x) for k, x in enumerate((row[1] or "").split("\n")) if WORD.search(x)]
+        runs = [(k, ((a, x), (b, y))) for k, ((a, x), (b, y)) in enumerate(zip(lines, lines[1:]))]
+        runs += [(k, ((a, x),)) for k, (a, x) in enumerate(lines) if len(WORD.findall(x)) >= 50]
+        for _, run in sorted(runs, key=lambda r: r[0]):
+            found = tuple(x for _, x in run)
+            if found in seen:
+                gone[row] |= {a for a, _ in run}
+            seen.add(found)
+    return gone
+
+
 @pytest.mark.parametrize("folder", DIRS, indirect=True)
 def test_lines(spark, folder):
-    """Runs of two counted lines; rows equal in id and text are one document."""
+    """Rows equal in id and text are one document."""
     rows = rows_of(spark, folder)
-    order = lambda r: (r[0] is None, r[0] or 0)
-    counted = lambda t: [(k, x) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
-    seen, gone = set(), defaultdict(set)
-    for row in sorted(set(rows), key=order):
-        lines = counted(row[1])
-        for (a, x), (b, y) in zip(lines, lines[1:]):
-            if (x, y) in seen:
-                gone[row] |= {a, b}
-            seen.add((x, y))
+    gone = lines_left(rows)
     want = Counter()
     for row in rows:
         lines = (row[1] or "").split("\n")
