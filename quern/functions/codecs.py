@@ -17,9 +17,10 @@ def _numbers(parts: Column) -> Column:
     return F.transform(parts, lambda x: x.cast("double"))
 
 
-def encode_dense(id_: Column, v: Column) -> Column:
-    """id,x0,x1,..."""
-    return F.concat_ws(",", F.concat(F.array(id_.cast("string")), _text(v)))
+def encode_dense(id_: Column, v: Column, exact: bool = True) -> Column:
+    """id,x0,x1,... in full digits, or as %e with six places."""
+    numbers = _text(v) if exact else F.transform(v, lambda x: F.format_string("%e", x.cast("double")))
+    return F.concat_ws(",", F.concat(F.array(id_.cast("string")), numbers))
 
 
 def decode_dense(line: Column) -> Column:

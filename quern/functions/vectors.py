@@ -69,10 +69,20 @@ def to_dense(size: Column, indices: Column, values: Column) -> Column:
 
 
 def pairs_to_map(pairs: Column, key: str, value: str) -> Column:
-    """Array of structs to a map; of equal keys the last stays."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p[key]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p[key] == k), -1)[value])
-    return F.map_from_arrays(keys, last)
+    """Array of structs to a map; of equal keys the last stays. One sort, so n log n for a hub's list."""
+    ranked = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p[key].alias("k"), i.alias("i"), p[value].alias("v"))))
+
+    def last_of_key(s: Column) -> Column:
+        return F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["k"] != x["k"]))
+
+    # Bound to a variable, so that the sort runs once.
+    kept = F.transform(F.array(ranked), last_of_key)[0]
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+
+
+def at_key(m: Column, key: Column) -> Column:
+    """A map's value, null where it lacks the key."""
+    return F.try_element_at(m, key)
 
 
 def log_softmax(v: Column) -> Column:

@@ -35,7 +35,7 @@ class PropertyGraph:
     def counts(self) -> DataFrame:
         """n_vertices, n_edges in one row."""
         v = self.vertices.agg(F.count("*").alias("n_vertices"))
-        return v.join(self.edges.agg(F.count("*").alias("n_edges")))
+        return v.withColumn("n_edges", self.edges.agg(F.count("*")).scalar())
 
     def sample(self, n: int = 3) -> tuple[DataFrame, DataFrame]:
         """The first n vertices and edges, in order of id."""

@@ -37,7 +37,7 @@ def confusion(rows: DataFrame, pred: str = "pred", truth: str = "truth", classes
     hit = lambda a, b: F.sum(F.when(a & b, 1).otherwise(0))
     p, t = F.col("p") == F.col("cls"), F.col("t") == F.col("cls")
     counts = pairs.groupBy("cls").agg(hit(p, t).alias("tp"), hit(p, ~t).alias("fp"), hit(~p, t).alias("fn"))
-    whole = counts.join(rows.agg(F.count("*").alias("n")))
+    whole = counts.withColumn("n", rows.agg(F.count("*")).scalar())
     return whole.select("cls", "tp", "fp", "fn", (F.col("n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
 
 
@@ -70,5 +70,6 @@ def n_classes(labels: DataFrame) -> DataFrame:
     return labels.agg(F.countDistinct("label").alias("n_classes"))
 
 
-def train_count(masks: DataFrame) -> DataFrame:
-    return masks.agg(F.sum("train_mask").alias("n_train"))
+def train_count(masks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n_train, of all rows or for each value of by, such as a column with the partition."""
+    return masks.groupBy(*(by or [])).agg(F.sum("train_mask").alias("n_train"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.draws import uniform
 from quern.graph import reverse_edges
+from quern.session import cut
 
 NORMS = ("symmetric", "right", "left", "none")
 STRATEGIES = ("1d", "2d", "random", "canonical")
+#: Hops after which a neighbourhood is written, so that its plan doesn't grow with k.
+CUT_AFTER = 3
 
 
 def with_unit_weight(edges: DataFrame) -> DataFrame:
@@ -89,11 +93,15 @@ def normalise(edges: DataFrame, norm: str = "symmetric", degree_convention: str
 def khop_in(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """id, hop: vertices from which a seed (id) is reached over at most k edges, with the least number."""
     pairs = edges.select("src", "dst").distinct()
+    if k > CUT_AFTER:
+        pairs = cut(pairs)
     reached = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, k + 1):
         step = pairs.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
         frontier = step.join(reached.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        if hop % CUT_AFTER == 0 and hop < k:
+            frontier, reached = cut(frontier), cut(reached)
         reached = reached.unionByName(frontier)
     return reached
 
@@ -120,9 +128,9 @@ def hash_split(id_: Column, train: int = 9, of: int = 10) -> Column:
     return F.when(bucket < train, 0).otherwise(2)
 
 
-def seeded_split(p: float, seed: int) -> Column:
-    """0 with probability p, else 2."""
-    return F.when(F.rand(seed) < p, 0).otherwise(2)
+def seeded_split(p: float, seed: int, id_: Column | None = None) -> Column:
+    """0 with probability p, else 2, drawn by the id, so that reruns and other partitionings agree."""
+    return F.when(uniform(seed, F.col("id") if id_ is None else id_) < p, 0).otherwise(2)
 
 
 def _spread(x: Column, n: int) -> Column:

@@ -15,13 +15,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Settings:
-    """Options of a run. Partition counts of None leave the session's."""
+    """Options of a run. Partition counts of None leave the session's; a number of 0 is the dataset's own."""
 
     app_name: str = "quern"
     shuffle_partitions: int | None = None
-    storage: str = "MEMORY_AND_DISK"
+    storage: str = "MEMORY_AND_DISK"  # of the first layer's sums, which every epoch reads
+    dataset: int = 2
+    n: int = 10_000_000  # vertices of the generated graph
+    partitions: int = 8
     epochs: int = 200
     seed: int = 2021
+    kind: str = "gcn"
+    layers: int = 2
+    hidden: int = 256
+    mlp_hidden: int = 128
+    features: int = 0
+    classes: int = 0
+    norm: str = "symmetric"
+    loops: bool = True
+    undirected: bool = True
+    normalise: bool = False
+    models: int = 0
+    optimizers: tuple[str, ...] = ("adamw",)
+    lrs: tuple[float, ...] = (0.01,)
+    dropouts: tuple[float, ...] = (0.5,)
 
 
 def session(settings: Settings = Settings(), **conf: str) -> SparkSession:
@@ -34,10 +51,15 @@ def session(settings: Settings = Settings(), **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that spark.checkpoint.dir or the application set; set one only where there is none."""
+    """Keep the folder that spark.checkpoint.dir or the application set. Only a local session gets one of its own where there is none."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quern-checkpoints-")
+        context.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

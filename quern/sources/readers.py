@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.draws import gaussian, uniform
 from quern.functions.vectors import to_sparse
 from quern.graph import META_SCHEMA, PropertyGraph, reverse_edges
-from quern.operators.generate import gaussian, uniform
 from quern.operators.structure import add_self_loops, normalise, undirected
 
 
@@ -92,6 +92,11 @@ def load_partitioned(spark: SparkSession, path: str) -> tuple[PropertyGraph, Dat
     return PropertyGraph(read("vertices"), read("edges")), read("edges_rev")
 
 
+def load_bucketed(spark: SparkSession, name: str) -> tuple[PropertyGraph, DataFrame]:
+    """The graph written by save_bucketed, and its reversed edges."""
+    return PropertyGraph(spark.table(f"{name}_vertices"), spark.table(f"{name}_edges")), spark.table(f"{name}_edges_rev")
+
+
 def load_graph(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> PropertyGraph:
     """fmt parquet (written by save_partitioned) or csv (features.csv and edges.csv in the folder)."""
     if fmt == "parquet":
