@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quern.llm import near_dedup
+from quern.llm import common, components, near_dedup
 
 
 def shingles(text):
@@ -64,3 +66,32 @@ def test_prefix_lengths():
     for n in range(1, 200):
         shared = next(i for i in range(n + 1) if 5 * i >= 4 * n)
         assert near_dedup.prefix_length(n) == n - shared + 1
+
+
+def test_a_crowd_of_edited_copies(spark, monkeypatch):
+    """Leaders link a crowd; what they don't link is paired across, whichever part is the body."""
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 3, 9, 20])):
+            words[r.randrange(150)] = f"e{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([f"w{k}" for k in range(100)] + [f"{g}x{k}" for k in range(20)] + [f"y{i}{k}" for k in range(i)])) for i, g in enumerate("aabbcabc")]
+    want = expected(rows)
+    assert 1 < len(want) < 30 and kept(spark, rows) == want
+
+
+def test_a_crowd_makes_few_pairs(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: i % 120], f"e{i}", *base[i % 120 + 1 :]])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    workspace = common.Workspace(spark, "test")
+    described = near_dedup.prefixes(docs, near_dedup.frequent_shingles(docs.limit(0)))
+    sets = workspace.materialise(described.select("key", F.col("doc_id").alias("low"), F.col("doc_id").alias("node"), "n", "prefix", "parity"), "sets")
+    linked = near_dedup.links(docs, sets, workspace)
+    root = components.components(linked, common.Workspace(spark, "test"))
+    assert root.count() == 300 and root.select("root").distinct().count() == 1
+    assert linked.count() < 300 * 40
