@@ -4,6 +4,9 @@ Each round points every node at its smallest neighbour (or itself), jumps pointe
 roots, and redraws the links between roots; at least half of a component's nodes go each round. All
 groupings by a hub are minima with partial sums, all joins are between written tables, so a hub's
 rows can be dealt to several tasks.
+
+Edge cases: links of a node to itself and repeated or reversed links count for nothing; links with a
+null end never join anything; no links give an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
