@@ -100,26 +100,46 @@ class BagModel:
         return score
 
 
-def train_bags(doc_of: np.ndarray, sents: np.ndarray, features: np.ndarray, n_features: int, y: np.ndarray, importance: np.ndarray, steps: int = 600, rate: float = 0.1, prior: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias, fitted by Adam on the noisy-or likelihood.
+@dataclass(frozen=True)
+class Bags:
+    """Documents as bags of sentences.
 
     doc_of: document of each sentence. sents, features: sentence and number of each feature that a
-    distinct word of it has. y, importance: label and weight of each document. The pull of weights
-    to zero is prior over the number of documents, so it fades as evidence grows.
+    distinct word of it has. y, importance: label and weight of each document.
     """
-    n_docs, n_sents, total = len(y), len(doc_of), importance.sum()
-    ridge = prior / n_docs
-    share = float((importance * y).sum() / total)
-    weights, bias = np.zeros(n_features), float(np.log(max(share, 1e-4) * n_docs / n_sents))
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    for step in range(1, steps + 1):
-        z = bias + np.bincount(sents, weights=weights[features], minlength=n_sents)
+
+    doc_of: np.ndarray
+    sents: np.ndarray
+    features: np.ndarray
+    y: np.ndarray
+    importance: np.ndarray
+
+    def loss_and_gradient(self, weights: np.ndarray, bias: float, centre: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Mean negative log likelihood under noisy-or plus half ridge times the squared distance to centre; its gradient, the bias last."""
+        n_docs, n_sents, total = len(self.y), len(self.doc_of), self.importance.sum()
+        z = bias + np.bincount(self.sents, weights=weights[self.features], minlength=n_sents)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        clean = np.bincount(doc_of, weights=-np.logaddexp(0, z), minlength=n_docs)
+        clean = np.bincount(self.doc_of, weights=-np.logaddexp(0, z), minlength=n_docs)
         toxic = np.maximum(-np.expm1(clean), 1e-9)
-        push = np.where(y == 1, -np.exp(clean) / toxic, 1.0) * importance / total
-        g = push[doc_of] * p
-        grad = np.append(np.bincount(features, weights=g[sents], minlength=n_features) + ridge * weights, g.sum())
+        push = np.where(self.y == 1, -np.exp(clean) / toxic, 1.0) * self.importance / total
+        g, moved = push[self.doc_of] * p, weights - centre
+        loss = float(-(np.where(self.y == 1, np.log(toxic), clean) * self.importance).sum() / total + ridge / 2 * moved @ moved)
+        return loss, np.append(np.bincount(self.features, weights=g[self.sents], minlength=len(weights)) + ridge * moved, g.sum())
+
+
+def train_bags(bags: Bags, centre: np.ndarray, steps: int = 400, rate: float = 0.1, prior: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias, fitted by Adam on the noisy-or likelihood.
+
+    Weights start at centre, the features' log-odds, and are pulled back to it with a strength of
+    prior over the number of documents, so the pull fades as evidence grows. Noisy-or alone leaves a
+    word weak that always comes with others, and then a document with just that word is missed.
+    """
+    n_docs, n_sents = len(bags.y), len(bags.doc_of)
+    share = float((bags.importance * bags.y).sum() / bags.importance.sum())
+    weights, bias = centre.copy(), float(np.log(max(share, 1e-4) * n_docs / n_sents))
+    m, v = np.zeros(len(centre) + 1), np.zeros(len(centre) + 1)
+    for step in range(1, steps + 1):
+        _, grad = bags.loss_and_gradient(weights, bias, centre, prior / n_docs)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - float(move[-1])
@@ -143,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     chosen = workspace.materialise(chosen, "sample")
 
     kind = labels.schema["toxic"].dataType.simpleString()
-    known_features = _telling_features(chosen)
+    known_features, centre = _telling_features(chosen)
     if not known_features or len(shares) < 2:
         return BagModel({}, -math.inf)
     number = {f: i for i, f in enumerate(known_features)}
@@ -168,12 +188,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     importance = np.array([shares.get(k, 0) / max(drawn[k], 1) for k in (0, 1)])[y]
     features = np.frombuffer(b"".join(rows["features"]), "<u4").astype(np.int64)
     doc_of = np.repeat(np.arange(len(rows)), [len(s) for s in sizes])
-    weights, bias = train_bags(doc_of, np.repeat(np.arange(len(flat)), flat), features, len(number), y, importance)
+    weights, bias = train_bags(Bags(doc_of, np.repeat(np.arange(len(flat)), flat), features, y, importance), centre)
     return BagModel({f: float(w) for f, w in zip(known_features, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
-def _telling_features(sample: DataFrame) -> list[int]:
-    """Hashes of the features that are over-represented in documents of label 1, by z score."""
+def _telling_features(sample: DataFrame) -> tuple[list[int], np.ndarray]:
+    """Hashes of the features that are over-represented in documents of label 1, by z score, and their smoothed log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())  # of this task's share of the sample, which is bounded
@@ -191,13 +211,14 @@ def _telling_features(sample: DataFrame) -> list[int]:
     counted = counted.where(f"n0 + n1 >= {LEAST_DOCS}").persist()
     sizes = counted.where("feature = 0").first()
     if sizes is None or not sizes["n0"] or not sizes["n1"]:
-        return []
+        return [], np.zeros(0)
     share = sizes["n1"] / (sizes["n0"] + sizes["n1"])
     n = F.col("n0") + F.col("n1")
     z = (F.col("n1") - n * share) / F.sqrt(n * (share * (1 - share)))
-    found = counted.where("feature != 0").select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").collect()
+    found = counted.where("feature != 0").select("feature", "n0", "n1", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").collect()
     counted.unpersist()
-    return [r["feature"] % (1 << 64) for r in found]
+    odds = [math.log((r["n1"] + 0.5) / (sizes["n1"] + 1)) - math.log((r["n0"] + 0.5) / (sizes["n0"] + 1)) for r in found]
+    return [r["feature"] % (1 << 64) for r in found], np.array(odds)
 
 
 def score_documents(docs: DataFrame, model: BagModel) -> DataFrame:
