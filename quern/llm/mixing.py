@@ -6,7 +6,11 @@ seeded by its id falls under the fraction. Draws depend on doc_id and seed alone
 
 Edge cases: null text has size 0; a null source is a source of its own and comes last; a source
 without words has target 0 and rate 0; rows that repeat a doc_id share their draw; a null doc_id
-draws as the string 'null'; an empty table gives an empty result. Extra columns pass through.
+draws as the string 'null'; an empty table gives an empty result. Extra columns pass through,
+whatever their names.
+
+Targets, one row for each source, are broadcast up to MOST_SOURCES rows; with more sources the rows
+are joined to them by source, those of a source that holds many dealt to many places.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Workspace, table, word_count
+from quern.llm.common import Workspace, spread_join, table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CEILING = 2.0
 SEED = 17
+MOST_SOURCES = 10_000
 
 
 def draw(id_column: str, seed: int) -> Column:
@@ -36,7 +41,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, ceiling=CEILI
     weight, the level is read off at the first source that it leaves unsaturated. The windows hold
     one pre-aggregated row per source.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), rank % len(weights))
     cap = F.col("source_size") * F.lit(float(ceiling))
@@ -50,14 +55,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, ceiling=CEILI
     unsaturated = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
     found = levelled.withColumn("level", F.max(unsaturated).over(everything))
     wanted = F.least("cap", F.col("level") * F.col("weight"))
-    return found.select("source", "source_size", F.coalesce(wanted, F.col("cap")).alias("target"))
+    return found.select("source", "source_size", F.coalesce(wanted, F.col("cap")).alias("target"), "n")
 
 
 def copies_per_document(sizes: DataFrame, targets: DataFrame, seed: int = SEED, id_column: str = "doc_id") -> DataFrame:
-    """sizes with source_size, target and n_copies."""
-    goal = targets.withColumnRenamed("source", "__goal_source")
+    """sizes with source_size, target and n_copies. targets is a written table."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = sizes.join(goal, F.col("source").eqNullSafe(F.col("__goal_source")), "left").drop("__goal_source")
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    named, goal = sizes.withColumn("__source", key), targets.withColumn("__source", key).drop("source")
+    if targets.count() <= MOST_SOURCES:
+        joined = named.join(F.broadcast(goal.drop("n")), "__source", "left").drop("__source")
+    else:
+        joined = spread_join(named, goal, ["__source"], [id_column], "left").drop("__source")
     whole = F.floor(rate)
     return joined.withColumn("n_copies", whole + F.when(draw(id_column, seed) < rate - whole, 1).otherwise(0))
 
