@@ -35,16 +35,24 @@ def encode_gather(id_: Column, nbrs: Column) -> Column:
     return F.concat_ws(",", F.concat(F.array(id_.cast("string"), F.size(nbrs).cast("string")), flat))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, not once for each element that a lambda inside touches."""
+    return F.transform(F.array(value), use)[0]
+
+
 def decode_gather(line: Column) -> Column:
     """struct(id, nbrs); the width follows from the number of fields."""
-    parts = F.split(line, ",")
-    n = parts[1].cast("int")
-    step = F.when(n > 0, ((F.size(parts) - 2) / n).cast("int")).otherwise(1)
-    one = lambda i: F.struct(
-        F.get(parts, 2 + i * step).cast("long").alias("u"), _numbers(F.slice(parts, 4 + i * step, step - 1)).alias("vec")
-    )
-    some = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one)
-    return F.struct(parts[0].cast("long").alias("id"), F.slice(some, 1, n).alias("nbrs"))
+
+    def read(parts: Column) -> Column:
+        n = parts[1].cast("int")
+        step = F.when(n > 0, ((F.size(parts) - 2) / n).cast("int")).otherwise(1)
+        one = lambda i: F.struct(
+            F.get(parts, 2 + i * step).cast("long").alias("u"), _numbers(F.slice(parts, 4 + i * step, step - 1)).alias("vec")
+        )
+        some = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), one)
+        return F.struct(parts[0].cast("long").alias("id"), F.slice(some, 1, n).alias("nbrs"))
+
+    return _bound(F.split(line, ","), read)
 
 
 def encode_sparse(id_: Column, size: Column, indices: Column, values: Column) -> Column:
@@ -87,7 +95,10 @@ def encode_json_gather(id_: Column, nbrs: Column) -> Column:
 
 def decode_json_gather(line: Column) -> Column:
     """struct(id, nbrs)"""
-    parts = F.from_json(line, "array<string>")
-    pairs = F.transform(F.from_json(parts[1], "array<string>"), lambda p: F.from_json(p, "array<string>"))
-    nbrs = F.transform(pairs, lambda p: F.struct(p[0].cast("long").alias("u"), F.from_json(p[1], "array<double>").alias("vec")))
-    return F.struct(parts[0].cast("long").alias("id"), nbrs.alias("nbrs"))
+
+    def read(parts: Column) -> Column:
+        pairs = F.transform(F.from_json(parts[1], "array<string>"), lambda p: F.from_json(p, "array<string>"))
+        nbrs = F.transform(pairs, lambda p: F.struct(p[0].cast("long").alias("u"), F.from_json(p[1], "array<double>").alias("vec")))
+        return F.struct(parts[0].cast("long").alias("id"), nbrs.alias("nbrs"))
+
+    return _bound(F.from_json(line, "array<string>"), read)
