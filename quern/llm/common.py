@@ -52,11 +52,22 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        place = hadoop.Path(f"{self.path}/{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def remove(self) -> None:
+        """Delete the whole folder, once nothing reads the results any more."""
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 in hex of a text that isn't null, as a column that can't be null: joins on it then add no null check, which Spark would push below and hash for again."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bitmap import build_filter, probe_filter
-from quern.llm.common import BLANKS, Workspace, spread_join, table
+from quern.llm.common import BLANKS, Workspace, digest, spread_join, table
 
 def normalised(text: Column | None = None) -> Column:
     return F.regexp_replace(F.coalesce(F.col("text") if text is None else text, F.lit("")), BLANKS, " ")
@@ -35,7 +35,7 @@ class DigestIndex:
 
     RUN = "digest string, doc_id long"
     LEVEL = "digest string, keep_id long, n long"
-    FILTER = "piece int, bits binary"
+    FILTER = "piece long, bits binary"
 
     def __init__(self, spark: SparkSession, path: str):
         self.workspace = Workspace(spark, path=path)
@@ -44,7 +44,7 @@ class DigestIndex:
     def flush(self, docs: DataFrame) -> None:
         """Write the digests of docs (doc_id, text) as sorted runs, one per task."""
         name = f"runs-{self.batches}"
-        rows = docs.select(F.sha2(normalised(docs["text"]), 256).alias("digest"), docs["doc_id"].cast("long").alias("doc_id"))
+        rows = docs.select(digest(normalised(docs["text"])).alias("digest"), docs["doc_id"].cast("long").alias("doc_id"))
         self.workspace.materialise(rows.sortWithinPartitions("digest", "doc_id"), name)
         self.waiting, self.batches = [*self.waiting, name], self.batches + 1
 
@@ -88,7 +88,7 @@ def dedup_groups(docs: DataFrame, index: DigestIndex, workspace: Workspace) -> D
     level = index.level()
     shared = workspace.materialise(level.where("n > 1"), "shared")
     bitmap = workspace.materialise(build_filter(shared), "shared-filter")
-    rows = docs.select(docs["doc_id"].alias("doc_id"), normalised(docs["text"]).alias("body")).withColumn("digest", F.sha2("body", 256))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), normalised(docs["text"]).alias("body")).withColumn("digest", digest(F.col("body")))
     sizes = shared.select("digest", "keep_id", "n", F.col("n").alias("size"))
     hits = spread_join(probe_filter(rows, bitmap), sizes, ["digest"], ["doc_id"])
     hits = workspace.materialise(hits, "hits")
@@ -117,7 +117,7 @@ def drop_duplicates(docs: DataFrame, workspace: Workspace) -> DataFrame:
     groups = dedup_groups(docs, DigestIndex(docs.sparkSession, f"{workspace.path}/index"), workspace)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("held")).distinct()
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.sha2(normalised(docs["text"]), 256).alias("digest"), row)
+    rows = docs.select(docs["doc_id"].alias("doc_id"), digest(normalised(docs["text"])).alias("digest"), row)
     same = rows["doc_id"].eqNullSafe(gone["gone"]) & (rows["digest"] == gone["held"])
     return rows.join(gone.hint("merge"), same, "left_anti").select("row.*")
 
