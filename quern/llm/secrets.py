@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from quern.llm.bitmap import build_filter, probe_filter
-from quern.llm.common import Workspace, spread_join, table
+from quern.llm.common import Workspace, digest, spread_join, table
 
 
 def _either_case(words: str) -> str:
@@ -147,7 +147,7 @@ class BlobLedger:
 def addressed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), blob."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+    return docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), digest(text).alias("blob"))
 
 
 def scan_documents(docs: DataFrame, ledger: BlobLedger, workspace: Workspace) -> DataFrame:
