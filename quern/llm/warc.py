@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.arrow import text_chunks, texts_of
-from quern.llm.common import Workspace, spread_join, table
+from quern.llm.common import Workspace, digest, spread_join, table
 
 ARCHIVE_BYTES = 1 << 30
 BLOCK_LINES = 2_000
@@ -100,7 +100,7 @@ def parse_record(member: bytes) -> tuple[int | None, int, str, str, int | None,
 def with_originals(pages: DataFrame, workspace: Workspace) -> DataFrame:
     """page_id, url, html, refers_to: the page whose payload a page repeats, null for responses."""
     html = F.coalesce(pages["html"], F.lit(""))
-    rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"))
+    rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), html.alias("html"), digest(html).alias("sha"))
     groups = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     groups = workspace.materialise(groups.where("n > 1"), "payloads")
     joined = spread_join(rows, groups, ["sha"], ["page_id", "url"], "left")
