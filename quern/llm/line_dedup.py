@@ -39,9 +39,9 @@ def _lines(text: Column) -> Column:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """no_id, doc_id, key (a hash of the text), text (null: empty) and the whole row of docs as one struct."""
+    """no_id, doc_id, key (a hash of the text), text (null: empty) and the other columns of docs as one struct."""
     text = F.coalesce(docs["text"], F.lit(""))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    row = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
     return docs.select(docs["doc_id"].isNull().alias("no_id"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), row)
 
 
