@@ -1,8 +1,10 @@
 """The parts that the operators are made of."""
 
 import itertools
+import math
 import os
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -12,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bitmap, bpe, common, components, exact_dedup, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, toxicity, warc
+from quern.llm import bitmap, bpe, common, components, exact_dedup, line_dedup, mixing, quality, registry, secrets, simhash, suffix_dedup, toxicity, warc
 from quern.llm.common import Workspace
 
 
@@ -141,6 +143,62 @@ def test_toxicity_by_words_and_beginnings(spark, tmp_path):
     assert toxicity.learn(docs, labels.where("toxic = 0")).weights == {}
 
 
+def random_bags(seed):
+    rng = np.random.default_rng(seed)
+    doc_of = np.sort(np.concatenate([np.arange(30), rng.integers(0, 30, 60)]))
+    sents, features = rng.integers(0, 90, 200), rng.integers(0, 12, 200)
+    return toxicity.Bags(doc_of, sents, features, rng.integers(0, 2, 30), rng.uniform(0.5, 2, 30))
+
+
+def test_noisy_or_loss_and_gradient_by_brute_force():
+    bags, rng = random_bags(3), np.random.default_rng(4)
+    weights, centre, bias, ridge = rng.normal(size=12), rng.normal(size=12), -0.7, 0.05
+
+    def loss(weights, bias):
+        total = 0.0
+        for k in range(30):
+            clean = 1.0
+            for s in np.flatnonzero(bags.doc_of == k):
+                z = bias + sum(weights[f] for f, own in zip(bags.features, bags.sents, strict=True) if own == s)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+            total -= bags.importance[k] * math.log(1 - clean if bags.y[k] else clean)
+        return total / bags.importance.sum() + ridge / 2 * ((weights - centre) ** 2).sum()
+
+    value, grad = bags.loss_and_gradient(weights, bias, centre, ridge)
+    assert value == pytest.approx(loss(weights, bias))
+    for i in range(13):
+        step = np.eye(13)[i] * 1e-6
+        slope = (loss(weights + step[:12], bias + step[12]) - loss(weights - step[:12], bias - step[12])) / 2e-6
+        assert grad[i] == pytest.approx(slope, abs=1e-7)
+
+
+def test_scores_by_brute_force():
+    r, words = random.Random(2), ["vile", "Vilest", "calm", "été", "rude", "plain", "x"]
+    model = toxicity.BagModel({f: 0.3 * i - 0.4 for i, f in enumerate(toxicity.word_features(b"vilest") + toxicity.word_features(b"rude"))}, -1.5)
+    score = model.scorer()
+    for _ in range(200):
+        text = "".join(r.choice(words) + r.choice([" ", "  ", ". ", "! ", "\n", ", "]) for _ in range(r.randint(0, 12)))
+        clean, best = 1.0, 0.0
+        for piece in re.split("[.!?\n]", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+            own = {w.encode() for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", piece) if w}
+            if own:
+                z = -1.5 + sum(model.weights.get(f, 0.0) for w in own for f in toxicity.word_features(w))
+                p = 1 / (1 + math.exp(-z))
+                clean, best = clean * (1 - p), max(best, p)
+        found = score(text.encode())
+        assert found[0] == pytest.approx(1 - clean, abs=1e-12) and found[3] == pytest.approx(best, abs=1e-12)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_toxicity_on_the_given_tables(spark):
+    found = registry.queries()["op5_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").select("doc_id", "predicted")
+    labels = common.table(spark, "/root/testdata/sf0.1", "labels").where("toxic is not null")
+    counts = {(r["toxic"], r["predicted"]): r["n"] for r in labels.join(found, "doc_id").groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
+    caught, missed, wrong, right = (counts.get(k, 0) for k in ((1, 1), (1, 0), (0, 1), (0, 0)))
+    # 129 of 144 are caught, with the settings that two-fold runs on the training folds chose; this guards against a loss.
+    assert caught >= 0.88 * (caught + missed) and wrong <= 0.01 * (wrong + right)
+
+
 def test_ledger_scans_only_unseen_blobs_of_each_rule_version(spark, odd_docs):
     workspace = lambda: Workspace(spark, "test")
     path = workspace().path
@@ -300,6 +358,13 @@ def test_mix_repeats_whole_rows(spark, odd_docs):
     assert all(counts[i] == n * given[i] for i, n in report.items())
 
 
+def test_mixing_many_sources_is_the_same(spark, odd_docs, monkeypatch):
+    want = Counter(map(tuple, mixing.mix_report(odd_docs, Workspace(spark, "test")).collect()))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    assert Counter(map(tuple, mixing.mix_report(odd_docs, Workspace(spark, "test")).collect())) == want
+    assert mixing.mix_documents(odd_docs, Workspace(spark, "test")).columns == odd_docs.columns
+
+
 def test_targets_fill_to_the_ceiling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 50), (None, 5)], "source string, size long")
     found = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
