@@ -1,9 +1,9 @@
-"""Filters over hex digests as bitmaps, in DataFrame operations only.
+"""Filters over keys as bitmaps, in DataFrame operations only.
 
-A filter has FILTER_BITS bits, one for each digest's hash, as pieces of 4 KB. It never misses a
-digest that is in it and passes few others, which a join afterwards drops; far more digests than
+A filter has FILTER_BITS bits, one for each key's hash, as pieces of 4 KB. It never misses a
+key that is in it and passes few others, which a join afterwards drops; far more keys than
 bits only make it pass more. Its size is fixed, so it can be broadcast at any scale, and rows that
-it stops are never shuffled. Null digests count as bit 0.
+it stops are never shuffled. Null is a key like any other.
 """
 
 from __future__ import annotations
@@ -17,20 +17,19 @@ PIECE_SHIFT = 15
 PIECE_BITS = 1 << PIECE_SHIFT
 
 
-def position(digest: Column) -> Column:
-    """The bit of a SHA-256 in hex: from its last digits, as the first ones decide the order of sorted runs."""
-    bits = F.conv(F.substring(digest, 58, 7), 16, 10).cast("long").bitwiseAND(F.lit(FILTER_BITS - 1))
-    return F.coalesce(bits, F.lit(0).cast("long"))  # never null, see common.digest
+def position(key: Column) -> Column:
+    """The bit of a key; never null, see common.digest."""
+    return F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
-def build_filter(digests: DataFrame, column: str = "digest") -> DataFrame:
+def build_filter(keys: DataFrame, column: str = "digest") -> DataFrame:
     """piece, bits: at most FILTER_BITS / PIECE_BITS = 2,048 rows of 4 KB."""
-    at = digests.select(position(F.col(column)).alias("at")).select(F.shiftright("at", PIECE_SHIFT).alias("piece"), F.pmod("at", F.lit(PIECE_BITS)).alias("bit"))
+    at = keys.select(position(F.col(column)).alias("at")).select(F.shiftright("at", PIECE_SHIFT).alias("piece"), F.pmod("at", F.lit(PIECE_BITS)).alias("bit"))
     return at.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
 def probe_filter(rows: DataFrame, bitmap: DataFrame, column: str = "digest") -> DataFrame:
-    """The rows that the filter passes: all whose digest is in it, and few others."""
+    """The rows that the filter passes: all whose key is in it, and few others."""
     named = rows.withColumn("__at", position(F.col(column))).withColumn("__piece", F.shiftright("__at", PIECE_SHIFT))
     pieces = bitmap.select(F.col("piece").alias("__piece"), F.col("bits").alias("__bits"))
     byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(pmod(__at, {PIECE_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("long")
