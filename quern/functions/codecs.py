@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quern.functions.vectors import to_dense
 
 
-
 def _text(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("string"))
 
@@ -17,16 +18,24 @@ def _numbers(parts: Column) -> Column:
     return F.transform(parts, lambda x: x.cast("double"))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _six_places(v: pa.Array) -> pa.Array:
+    """C's %e, which rounds the number itself, ties to even; Java's rounds its decimal digits, ties up."""
+    return pa.array([None if one is None else [None if x is None else "%e" % x for x in one] for one in v.to_pylist()], pa.list_(pa.string()))
+
+
 def encode_dense(id_: Column, v: Column, exact: bool = True) -> Column:
-    """id,x0,x1,... in full digits, or as %e with six places."""
-    numbers = _text(v) if exact else F.transform(v, lambda x: F.format_string("%e", x.cast("double")))
-    return F.concat_ws(",", F.concat(F.array(id_.cast("string")), numbers))
+    """id,x0,x1,... in full digits, or as C's %e with six places: nulls in the vector are left out, a null vector gives null, an empty one id and a comma."""
+    if not exact:
+        return F.concat(id_.cast("string"), F.lit(","), F.array_join(_six_places(v.cast("array<double>")), ","))
+    return F.concat_ws(",", F.concat(F.array(id_.cast("string")), _text(v)))
 
 
 def decode_dense(line: Column) -> Column:
     """struct(id, vec)"""
     parts = F.split(line, ",")
-    return F.struct(parts[0].cast("long").alias("id"), _numbers(F.slice(parts, 2, F.size(parts) - 1)).alias("vec"))
+    written = F.filter(F.slice(parts, 2, F.size(parts) - 1), lambda x: x != "")
+    return F.struct(parts[0].cast("long").alias("id"), _numbers(written).alias("vec"))
 
 
 def encode_gather(id_: Column, nbrs: Column) -> Column:

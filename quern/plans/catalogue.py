@@ -462,7 +462,7 @@ def codec_dense(spark, d):
 
 @register("codec_dense_lines", f"WITH {fx.V} SELECT id || ',' || array_to_string(list_transform(feat, lambda x: printf('%e', x * 1.1::DOUBLE)), ',') AS line FROM v")
 def codec_dense_lines(spark, d):
-    """The factor keeps numbers off exact ties in the seventh digit, which Java and C round apart."""
+    """The factor spreads the digits; products that still are exact ties in the seventh (0.12890625) round to even, as in C."""
     return fx.vertices(spark, d).select(codecs.encode_dense(F.col("id"), vectors.scale(F.col("feat"), F.lit(1.1)), exact=False).alias("line"))
 
 

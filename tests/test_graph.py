@@ -1,5 +1,6 @@
 """Toy graphs with answers by hand, and laws that hold on random ones."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,22 @@ def test_codecs(spark, v):
         assert tuple(rows.select(codecs.decode_dense(codecs.encode_dense(F.col("id"), F.col("vec"))).alias("s")).select("s.*").first()) == (ids[0], v)
 
 
+def test_six_places_as_sql_writes_them(spark, tmp_path):
+    """Exact ties go to even, ties of the decimal digits alone by the number itself."""
+    from quern.plans import catalogue
+
+    ties = [k / 2**n for n in (7, 8, 9) for k in range(1, 400)]
+    products = [x for t in ties for x in (t / 1.1, float(np.nextafter(t / 1.1, 1)), -t / 1.1)]
+    rows = [(1, products), (2, [0.0, -0.0, 1e-320, 2.5e-7, 0.00012345675, 1e300]), (3, [float("nan"), float("inf"), -float("inf")]), (4, []), (5, [1.5, None]), (6, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["line"] for r in catalogue.queries()["codec_dense_lines"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert got == {line for (line,) in db.execute(catalogue.oracle_sql()["codec_dense_lines"]).fetchall()}
+    line = codecs.encode_dense(F.lit(4), F.array(F.lit(0.12890625), F.lit(0.5)), exact=False)
+    assert spark.range(1).select(line.alias("s")).first()["s"] == "4,1.289062e-01,5.000000e-01"
+
+
 def test_gather_codec_without_neighbours(spark):
     rows = spark.createDataFrame([(4, [])], "id long, nbrs array<struct<u:long,vec:array<double>>>")
     assert rows.select(codecs.decode_gather(codecs.encode_gather(F.col("id"), F.col("nbrs"))).alias("s")).first()["s"].asDict()["nbrs"] == []
