@@ -11,6 +11,10 @@ once. Features are all words and beginnings that LEAST_DOCS of its documents hav
 of label 1 have more often than chance by LEAST_Z standard errors; there is no limit to their number
 but the sample. Everything else covers all rows and whole texts. Scores read the text only.
 
+A sentence's words are taken BLOCK bytes at a time, and of a longer one only the words that tell are
+remembered; counts are handed on as they come. So memory follows neither a task's share of the
+sample nor the longest text, but for 8 bytes for each distinct feature of a text that is learned from.
+
 Edge cases: null, empty and wordless texts score 0; a null label isn't learned from; without two
 classes all scores are 0; a null doc_id counts as the empty string for the fold and isn't learned
 from; rows that repeat get equal scores; an empty table gives an empty result.
@@ -19,8 +23,7 @@ from; rows that repeat get equal scores; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,8 @@ from quern.llm.common import Workspace, table
 MAX_PER_LABEL = 4_000
 LEAST_DOCS, LEAST_Z = 3, 4.0
 PREFIXES = (4, 5, 6)
+#: Bytes of a sentence whose words are held at a time, features counted before they are handed on, and bytes of a word that a cache keeps.
+BLOCK, HELD, CACHED = 1 << 20, 1_000_000, 64
 THRESHOLD = 0.7
 
 
@@ -55,6 +60,30 @@ def sentences(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split(b"\n")
 
 
+def word_sets(piece: bytes, block: int | None = None) -> Iterator[set[bytes]]:
+    """The distinct words of a cleaned piece, about block bytes at a time; a word can be in several sets."""
+    at, block = 0, block or BLOCK
+    while at < len(piece):
+        end = len(piece)
+        if end - at > block:
+            blank = piece.find(b" ", at + block)
+            end = blank if blank >= 0 else end
+        if words := set(piece[at:end].split()):
+            yield words
+        at = end
+
+
+def distinct_words(piece: bytes, tells: Callable[[bytes], object]) -> set[bytes] | None:
+    """The distinct words of a cleaned piece, of one longer than BLOCK only those that tell; None without a word."""
+    sets = word_sets(piece)
+    found = next(sets, None)
+    if found is not None and len(piece) > BLOCK:
+        found = {w for w in found if tells(w)}
+        for words in sets:
+            found.update(w for w in words if tells(w))
+    return found
+
+
 def word_features(word: bytes) -> list[int]:
     """Hashes (XXH3, 64 bits) of a word and of its beginnings, which inflected forms share."""
     digest = xxhash.xxh3_64_intdigest
@@ -72,12 +101,14 @@ class BagModel:
         weights = self.weights
 
         class Cache(dict):
-            """Weight of a word; emptied when it holds 400,000."""
+            """Weight of a word; emptied when it holds 400,000. Long words are looked up anew."""
 
             def __missing__(self, word: bytes) -> float:
                 if len(self) >= 400_000:
                     self.clear()
-                self[word] = found = sum(weights.get(f, 0.0) for f in word_features(word))
+                found = sum(weights.get(f, 0.0) for f in word_features(word))
+                if len(word) <= CACHED:
+                    self[word] = found
                 return found
 
         weight, bias = Cache().__getitem__, self.bias
@@ -86,9 +117,9 @@ class BagModel:
             """Noisy-or score; start, end and score of the worst sentence, in bytes of UTF-8."""
             clean, at, worst = 0.0, 0, (-1.0, None, None)
             for piece in sentences(text):
-                words = piece.split()
-                if words:
-                    z = bias + sum(map(weight, set(words)))
+                words = distinct_words(piece, weight)
+                if words is not None:
+                    z = bias + sum(map(weight, words))
                     clean -= max(z, 0.0) + math.log1p(math.exp(-abs(z)))
                     if z > worst[0] or worst[1] is None:
                         worst = (z, at, at + len(piece))
@@ -169,10 +200,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     number = {f: i for i, f in enumerate(known_features)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tells = lambda w: any(f in number for f in word_features(w))
         for chunk in text_chunks(batches):
             bags, sizes = [], []
             for text in texts_of(chunk):
-                own = [set(words) for piece in sentences(text) if (words := piece.split())]
+                own = (words for piece in sentences(text) if (words := distinct_words(piece, tells)) is not None)
                 own = [sorted(number[f] for w in s for f in word_features(w) if f in number) for s in own]
                 sizes.append(np.array([len(s) for s in own], "<u4").tobytes())
                 bags.append(np.array([x for s in own for x in s], "<u4").tobytes())
@@ -192,20 +224,44 @@ def learn(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     return BagModel({f: float(w) for f, w in zip(known_features, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
+def text_features(text: bytes) -> np.ndarray:
+    """Sorted hashes of the features of a text, without repeats."""
+    found = np.zeros(0, np.uint64)
+    for words in word_sets(text.translate(_TABLE).replace(b"\n", b" ")):
+        new = np.fromiter((f for w in words for f in word_features(w)), np.uint64)
+        found = np.union1d(found, new) if len(found) else np.unique(new)
+    return found
+
+
+def count_features(labels: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """feature, n0, n1: documents by label that have a feature, in parts of about HELD features; feature 0 counts documents."""
+    for label in (0, 1):
+        held, size = [], 0
+
+        def part() -> pa.RecordBatch:
+            features, n = np.unique(np.concatenate(held), return_counts=True)
+            columns = [pa.array(features.view(np.int64)), *[pa.array(n * (k == label), pa.int64()) for k in (0, 1)]]  # noqa: B023
+            held.clear()  # noqa: B023
+            return pa.RecordBatch.from_arrays(columns, ["feature", "n0", "n1"])
+
+        for own, text in zip(labels, texts, strict=True):
+            if own == label:
+                found = text_features(text)
+                held += [np.zeros(1, np.uint64), found]
+                size += len(found)
+                if size >= HELD:
+                    yield part()
+                    size = 0
+        if held:
+            yield part()
+
+
 def _telling_features(sample: DataFrame) -> tuple[list[int], np.ndarray]:
     """Hashes of the features that are over-represented in documents of label 1, by z score, and their smoothed log-odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())  # of this task's share of the sample, which is bounded
         for chunk in text_chunks(batches):
-            for label, text in zip(chunk.column("toxic").to_pylist(), texts_of(chunk), strict=True):
-                words = {w for piece in sentences(text) for w in piece.split()}
-                counts[label].update({f for w in words for f in word_features(w)})
-                counts[label][0] += 1
-        every = list(counts[0] | counts[1])
-        signed = np.array(every, np.uint64).view(np.int64)
-        columns = [pa.array(signed), *[pa.array([c[f] for f in every], pa.int64()) for c in counts]]
-        yield pa.RecordBatch.from_arrays(columns, ["feature", "n0", "n1"])
+            yield from count_features(chunk.column("toxic").to_pylist(), texts_of(chunk))
 
     counted = sample.select("toxic", "text").mapInArrow(run, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = counted.where(f"n0 + n1 >= {LEAST_DOCS}").persist()

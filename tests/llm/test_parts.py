@@ -334,6 +334,49 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
         assert int(out.stdout.split()[-1]) < 350, (kind, out.stdout)
 
 
+def test_toxicity_in_blocks(monkeypatch):
+    """Sentences in blocks score as at once, features are counted alike in parts, and memory doesn't follow a text of 24 MB."""
+    r = random.Random(4)
+    model = toxicity.BagModel({f: 0.2 * i - 0.3 for w in (b"vilest", b"rotten", b"w7") for i, f in enumerate(toxicity.word_features(w))}, -1.0)
+    texts = [" ".join(r.choice(["vilest", "rotten", "w7", "vile", ".", *[f"w{i}" for i in range(50)]]) for _ in range(n)).encode() for n in (0, 1, 40, 900)] + [b" " * 300, b"x" * 500]
+    labels = [0, 1, 1, 0, 1, 0]
+
+    def counts():
+        out = Counter()
+        for batch in toxicity.count_features(labels, texts):
+            for row in batch.to_pylist():
+                out[row["feature"]] += row["n0"] + 1000 * row["n1"]
+        return out
+
+    whole = [model.scorer()(t) for t in texts], counts()
+    want = Counter()
+    for label, text in zip(labels, texts, strict=True):
+        words = {w for piece in toxicity.sentences(text) for w in piece.split()}
+        want.update({f - (f >> 63 << 64): 1000 if label else 1 for f in {0, *[f for w in words for f in toxicity.word_features(w)]}})
+    assert whole[1] == want
+    monkeypatch.setattr(toxicity, "BLOCK", 20)
+    monkeypatch.setattr(toxicity, "HELD", 10)
+    assert counts() == want
+    for text, at_once in zip(texts, whole[0], strict=True):
+        assert model.scorer()(text) == pytest.approx(at_once)
+    code = """
+import random, resource, sys
+from quern.llm import toxicity
+r = random.Random(1)
+text = b" ".join(("w%x" % r.randrange(1 << 30)).encode() for _ in range(24_000_000 // 9))
+model = toxicity.BagModel({f: 1.0 for f in toxicity.word_features(b"vilest")}, -1.0)
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.scorer()(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+for _ in toxicity.count_features([1], [text]):
+    pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    score, learned = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True).stdout.split())
+    assert score < 100 and learned < 200
+
+
 def test_many_lines_take_linear_time(spark):
     lines = [f"line {i % 30_000} of many" for i in range(60_000)]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:200]))], "doc_id long, text string")
