@@ -12,9 +12,12 @@ vertices are joined as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -142,14 +145,98 @@ def backward_sparse(edges: DataFrame, sparse: DataFrame, orientation: str = "rev
     return sparse_sum(reverse_edges(_weighted(edges)), sparse) if orientation == "reverse" else sparse_sum(edges, sparse, "dst", "src")
 
 
-def gather(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted: bool = True) -> DataFrame:
+def gather(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted: bool = True, parts: int | None = None) -> DataFrame:
     """id, nbrs: every in-neighbour's message, in order of the neighbour.
 
     A hub's list is as long as its in-degree; sums and other reductions belong in weighted_sum or
     gather_rows, which never hold a list, and lists of a bounded length in gather_blocks.
+
+    Without parts each edge's message is shuffled. With a number of parts, which suits graphs with
+    more in-edges a vertex than that, edges go to parts by target without their messages, all vectors
+    go to every part once, and messages are made there as the lists are; a part's vectors have to
+    fit a worker's memory.
     """
-    rows = gather_rows(edges, vertices, column, weighted)
-    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("u", "vec"))).alias("nbrs"))
+    if parts is None:
+        rows = gather_rows(edges, vertices, column, weighted).groupBy("id").agg(F.collect_list(F.struct("u", "vec")).alias("nbrs"))
+    else:
+        rows = _gather_in_parts(_weighted(edges), _entries(vertices, column), parts, weighted)
+    return rows.select("id", F.array_sort("nbrs").alias("nbrs"))
+
+
+def _gather_in_parts(edges: DataFrame, entries: DataFrame, parts: int, weighted: bool) -> DataFrame:
+    """id, nbrs, unsorted by message. A part's rows come sorted, its vectors first, then its edges by target."""
+    # Vectors of floats that were cast go as floats, which is half of the bytes.
+    vec, short = F.col("__vec").cast("array<double>"), F.col("__vec").cast("array<float>")
+    same = F.coalesce(short.cast("array<double>") == vec, F.lit(False))
+    pair = [F.when(same, short).alias("short"), F.when(~same, vec).alias("vec")]
+    places = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    given = entries.where("id is not null").select(F.lit(None).cast("long").alias("dst"), F.col("id").cast("long").alias("src"), F.lit(None).cast("double").alias("weight"), *pair)
+    given = given.select(places, F.lit(False).alias("edge"), "*")
+    place = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int").alias("part")
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("short", "array<float>"), ("vec", "array<double>"))]
+    sent = edges.where("src is not null").select(place, F.lit(True).alias("edge"), F.col("dst").cast("long"), F.col("src").cast("long"), F.col("weight").cast("double"), *empty)
+    dealt = given.unionByName(sent).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "edge", "dst", "src")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known, fresh, held = None, None, [], None
+        for batch in batches:
+            of, is_edge = batch.column("part").to_numpy(), batch.column("edge").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(is_edge.astype(np.int8)) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                rows = batch.slice(start, end - start)
+                if of[start] != part:
+                    if held is not None:
+                        yield from _lists(held, known, weighted)
+                    part, known, fresh, held = of[start], None, [], None
+                if not is_edge[start]:
+                    full = pc.coalesce(rows.column("vec"), rows.column("short").cast(pa.list_(pa.float64())))
+                    fresh.append((rows.column("src").to_numpy(), full))
+                    continue
+                if known is None:
+                    ids = [i for i, _ in fresh] or [np.zeros(0, np.int64)]
+                    known = np.concatenate(ids), pa.concat_arrays([v for _, v in fresh] or [pa.array([], pa.list_(pa.float64()))])
+                    fresh = []
+                mine = pa.table([rows.column(c) for c in ("dst", "src", "weight")], ["dst", "src", "weight"])
+                mine = mine if held is None else pa.concat_tables([held, mine]).combine_chunks()
+                # The last target's edges may go on in the next batch.
+                ends = _group_starts(mine.column("dst"))[-1]
+                if ends:
+                    yield from _lists(mine.slice(0, ends), known, weighted)
+                held = mine.slice(ends)
+        if held is not None:
+            yield from _lists(held, known, weighted)
+
+    return dealt.mapInArrow(run, "id long, nbrs array<struct<u: long, vec: array<double>>>")
+
+
+def _group_starts(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where runs of equal ids start, nulls one of them."""
+    values, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy()
+    return np.append(0, np.flatnonzero((np.diff(values) != 0) | (null[1:] != null[:-1])) + 1)
+
+
+def _lists(edges: pa.Table, known: tuple[np.ndarray, pa.Array], weighted: bool) -> Iterator[pa.RecordBatch]:
+    """id, nbrs of edges that are sorted by target; a source with several vectors sends each, one without any sends none."""
+    ids, vectors = known
+    src = edges.column("src").to_numpy()
+    low, high = np.searchsorted(ids, src, "left"), np.searchsorted(ids, src, "right")
+    n = high - low
+    edge = np.repeat(np.arange(len(src)), n)
+    if not len(edge):
+        return
+    sent = vectors.take(pa.array(low[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)))
+    values, widths = sent.flatten(), pc.list_value_length(sent).to_numpy()
+    if weighted:
+        weights = edges.column("weight").combine_chunks().take(pa.array(np.repeat(edge, widths)))
+        values = pc.multiply(values, weights)
+    messages = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(widths)), pa.int32()), values)
+    pairs = pa.StructArray.from_arrays([pa.array(src[edge]), messages], ["u", "vec"])
+    targets = edges.column("dst").combine_chunks().take(pa.array(edge))
+    starts = _group_starts(pa.chunked_array([targets]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(edge)), pa.int32()), pairs)
+    yield pa.RecordBatch.from_arrays([targets.take(pa.array(starts)), lists], ["id", "nbrs"])
 
 
 def gather_blocks(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted: bool = True, size: int = 10_000) -> DataFrame:

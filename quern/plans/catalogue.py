@@ -243,10 +243,15 @@ def _marks_sql(v: str) -> str:
 _GATHERED = f"{fx.weighted()}, n AS (SELECT w.dst AS id, w.src AS u, list_transform(v.feat, lambda x: x * w.weight) AS vec FROM w JOIN v ON v.id = w.src) SELECT id, u, {_marks_sql('vec')}, len(vec) AS n FROM n"
 
 
+def _gather_parts(spark) -> int:
+    """Twice the cores: the fixture graph has far more edges than vertices, so vectors go to parts and not along with edges."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 @register("gather_neighbors", _GATHERED)
 def gather_neighbors(spark, d):
     g = fx.graph(spark, d)
-    rows = gather(g.edges, g.vertices).select("id", F.explode("nbrs").alias("n"))
+    rows = gather(g.edges, g.vertices, parts=_gather_parts(spark)).select("id", F.explode("nbrs").alias("n"))
     return rows.select("id", "n.u", *_marks(F.col("n.vec")), F.size("n.vec").cast("long").alias("n"))
 
 
@@ -273,7 +278,7 @@ def gather_then_sum(spark, d):
 def sum_listed_json(spark, d):
     """Gathered lists written as JSON, read back and summed."""
     g = fx.graph(spark, d)
-    line = gather(g.edges, g.vertices).select(codecs.encode_json_gather(F.col("id"), F.col("nbrs")).alias("line"))
+    line = gather(g.edges, g.vertices, parts=_gather_parts(spark)).select(codecs.encode_json_gather(F.col("id"), F.col("nbrs")).alias("line"))
     back = line.select(codecs.decode_json_gather(F.col("line")).alias("r"))
     return rounded(spread(back.select("r.id", sum_listed(F.transform("r.nbrs", lambda n: n["vec"])).alias("vec"))))
 

@@ -49,6 +49,33 @@ def test_gather_sums_to_the_same(toy):
     assert as_dict(pr.sum_gathered(pr.gather(e, v))) == as_dict(pr.sum_gathered(pr.gather_blocks(e, v, size=1))) == as_dict(pr.weighted_sum(e, v))
 
 
+@pytest.mark.parametrize("weighted", [True, False])
+def test_gather_in_parts_equals_gather(spark, weighted):
+    """Repeated edges and vertices, null ends, weights, vectors and entries, sources without a vector; lists longer than a batch."""
+    rows = [(i, [i / 3, -1.0 * i]) for i in range(200)] + [(3, [0.1, 0.2, 0.3]), (4, []), (5, [None, 1.0]), (7, None), (None, [9.0])]
+    v = feats_of(spark, rows).union(feats_of(spark, [(1000 + i, [0.5 * i]) for i in range(20)]))
+    ends = [(i * 7 % 230, i * i % 40, 0.1 * (i % 5) - 0.2) for i in range(1500)] + [(1, None, 1.0), (2, None, 2.0), (None, 1, 1.0), (5, 3, None), (1003, 3, 2.0), (9999, 77, 1.0)]
+    e = edges_of(spark, ends).repartition(5)
+    want = sorted(((r["id"], r["nbrs"]) for r in pr.gather(e, v, weighted=weighted).collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        for parts in (1, 3, 50):
+            assert sorted(((r["id"], r["nbrs"]) for r in pr.gather(e, v, weighted=weighted, parts=parts).collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pr.gather(e.limit(0), v, parts=3).collect() == [] == pr.gather(e, v.limit(0), parts=3).collect()
+
+
+def test_gathered_messages_arent_shuffled(spark):
+    """Neither a join of edges with vectors nor lists that are collected through a shuffle."""
+    from quern.plans import catalogue
+
+    assert "Join" not in pr.gather(edges_of(spark, [(1, 2, 1.0)]), feats_of(spark, [(1, [1.0])]), parts=4)._jdf.queryExecution().executedPlan().toString()
+    for name in ("gather_neighbors", "sum_listed"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "collect_list" not in plan
+
+
 @pytest.mark.parametrize("plan", pr.PLANS)
 def test_hubs_are_dealt_out(spark, monkeypatch, plan):
     monkeypatch.setattr(pr, "COPIES", 4)
