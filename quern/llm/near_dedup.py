@@ -1,8 +1,13 @@
-"""Near-dedup by an exact similarity join on word shingles, the pipeline's stage after line dedup.
+"""Near-dedup by SimHash and an exact similarity join on word shingles, the pipeline's stage after line dedup.
 
 Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, and one
 document of each connected component stays. Equal sets are one node, so exact copies never meet in
-pairs. Shingles have one order for all texts, those known to be frequent last. Two sets of n
+pairs.
+
+SimHash comes first: every set has a fingerprint of 64 bits, covering tables find the ones within
+two bits (simhash.links), and what they pair is compared by whole sets. Edited copies often differ in
+more bits, so an exact join follows that finds the rest; its pairs across parts leave out what is
+linked by then. Shingles have one order for all texts, those known to be frequent last. Two sets of n
 and m shingles that are similar enough share 0.8 n and 0.8 m at least, so the first n - ceil(0.8 n) + 1
 of the one and the same part of the other have a shingle in common: joining on these prefixes misses
 no pair, whatever the order. Pairs are compared by their whole sets unless a bound on what they can
@@ -32,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm.arrow import text_chunks, texts_of
 from quern.llm.bitmap import build_filter, probe_filter
 from quern.llm.common import Workspace, spread_join, text_or_empty
 from quern.llm.components import components
-from quern.llm.simhash import BLOCK, text_hashes
+from quern.llm.simhash import BLOCK, fingerprint_of_hashes, text_hashes
 
 SHINGLE = 5
 #: Similarity of 4/5, kept as whole numbers so that the boundary is exact.
@@ -80,7 +86,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, key (a digest of the set), n (its size), prefix (its first shingles in the common order), parity."""
+    """doc_id, key (a digest of the set), n (its size), prefix (its first shingles in the common order), parity, print (its SimHash fingerprint)."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
@@ -97,10 +103,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             columns = [chunk.column("doc_id"), keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([first(s) for s in sets], pa.list_(pa.int64()))]
             columns.append(pa.array([parities(s) for s in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "prefix", "parity"])
+            columns.append(pa.array(np.array([fingerprint_of_hashes(s) for s in sets], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "prefix", "parity", "print"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, prefix array<long>, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, prefix array<long>, parity array<long>, print long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -198,10 +205,24 @@ def similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, workspace: Works
     return linked
 
 
-def links(docs: DataFrame, sets: DataFrame, workspace: Workspace, rounds: int = ROUNDS) -> DataFrame:
-    """a, b: links that connect all nodes which pairs of similar sets connect."""
-    through = meetings(sets, workspace)
-    found, roots = None, None
+def fingerprint_links(docs: DataFrame, sets: DataFrame, workspace: Workspace) -> DataFrame:
+    """a, b: similar sets that SimHash pairs. A fingerprint's lowest node stands for it and is paired with its other nodes."""
+    own = Workspace(workspace.spark, path=f"{workspace.path}/simhash")
+    prints = own.materialise(sets.groupBy("print").agg(F.min("node").alias("head"), F.count("*").alias("n")), "prints")
+    close = own.materialise(simhash.links(prints.select("print"), own), "close")
+    a, b = (prints.select(F.col("print").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    across = close.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("ha", "hb")
+    within = spread_join(sets.select("node", "print"), prints.where("n > 1"), ["print"], ["node"]).where("node != head").select("head", "node")
+    pairs = across.union(within).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    found = similar(docs, sets, pairs, own)
+    for name in ("prints", "close", "shared-buckets"):
+        own.drop(name)
+    return found
+
+
+def links(docs: DataFrame, sets: DataFrame, workspace: Workspace, rounds: int = ROUNDS, found: DataFrame | None = None) -> DataFrame:
+    """a, b: links that connect all nodes which pairs of similar sets connect; those in found are known already."""
+    through, roots = meetings(sets, workspace), None
     for number in range(rounds + 1):
         own = Workspace(workspace.spark, path=f"{workspace.path}/round-{number}")
         mixed = mixed_groups(through, roots, own)
@@ -218,10 +239,11 @@ def links(docs: DataFrame, sets: DataFrame, workspace: Workspace, rounds: int =
 def near_duplicates(docs: DataFrame, workspace: Workspace) -> DataFrame:
     """doc_id, component_id (the smallest id of the component): one row per row of docs."""
     described = workspace.materialise(prefixes(docs, frequent_shingles(docs)), "described")
-    same = [F.first(x).alias(x) for x in ("n", "prefix", "parity")]
+    same = [F.first(x).alias(x) for x in ("n", "prefix", "parity", "print")]
     sets = described.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_rows"), *same)
     sets = workspace.materialise(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    roots = workspace.materialise(components(links(docs, sets, workspace), workspace), "roots")
+    found = links(docs, sets, workspace, found=fingerprint_links(docs, sets, workspace))
+    roots = workspace.materialise(components(found, workspace), "roots")
     linked = workspace.materialise(sets.select("node", "key", "low", "n_rows").join(roots, "node", "left"), "linked")
     lowest = workspace.materialise(linked.where("root is not null").groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
     owner = linked.join(lowest, "root", "left").select("key", F.col("n_rows").alias("n"), F.coalesce("lowest", "low").alias("component_id"))

@@ -109,6 +109,11 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE, block: int = BLOCK)
     return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+def fingerprint_of_hashes(hashes: np.ndarray) -> np.uint64:
+    """The same of given hashes; zero of none."""
+    return np.packbits(2 * _bits(hashes).sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, print (the bits as a long)."""
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import common, components, near_dedup
+from quern.llm import common, components, near_dedup, simhash
 
 
 def shingles(text):
@@ -62,6 +62,42 @@ def test_all_pairs_by_brute_force(spark, monkeypatch):
     assert kept(spark, rows) == want
 
 
+def test_simhash_links_first(spark):
+    """All similar sets within two bits are linked by their fingerprints, equal ones included, and no others; the exact join adds the rest."""
+    r = random.Random(8)
+    texts = ["", "one two", "a b c d e"]
+    for _ in range(12):
+        base = [f"{r.choice('abcdefgh')}{r.randint(0, 999)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            edited = list(base)
+            for _ in range(r.choice([1, 1, 2, 6])):
+                edited[r.choice([0, 299, r.randrange(300)])] = f"e{r.randint(0, 10**6)}"
+            texts.append(" ".join(edited))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    workspace = common.Workspace(spark, "test")
+    described = near_dedup.prefixes(docs, near_dedup.frequent_shingles(docs))
+    sets = workspace.materialise(described.withColumn("low", F.col("doc_id")).withColumn("node", F.col("doc_id")), "sets")
+    found = near_dedup.fingerprint_links(docs, sets, workspace)
+    own, prints = [shingles(t) for t in texts], {x["node"]: x["print"] % (1 << 64) for x in sets.collect()}
+    assert prints == {i: int(simhash.fingerprint_of_hashes(near_dedup.shingle_set(t.encode()))) for i, t in enumerate(texts)} and prints[0] == 0
+    linked = {(x["a"], x["b"]) for x in found.collect()}
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if similar(own[i], own[j]) and bin(prints[i] ^ prints[j]).count("1") <= 2}
+    assert 5 < len(linked) and linked <= {(i, j) for j in range(len(texts)) for i in range(j) if similar(own[i], own[j])}
+    root = {x["node"]: x["root"] for x in components.components(found, common.Workspace(spark, "test")).collect()}
+    assert all(i in root and root[i] == root[j] for i, j in near)
+    every = near_dedup.links(docs, sets, workspace, found=found)
+    assert linked <= {(x["a"], x["b"]) for x in every.collect()} and len(near) < sum(similar(own[i], own[j]) for j in range(len(texts)) for i in range(j))
+    assert kept(spark, list(enumerate(texts))) == expected(list(enumerate(texts)))
+
+
+def test_the_pipeline_takes_fingerprints(spark, monkeypatch):
+    seen = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *given: seen.append(1) or links(*given))
+    assert kept(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words")]) == [1, 3] and seen
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         shared = next(i for i in range(n + 1) if 5 * i >= 4 * n)
