@@ -103,6 +103,36 @@ def test_repeats_across_many_buckets(spark, bucket):
         assert (sum(b - a for a, b in own), len(own)) == (gone, runs)
 
 
+def test_repeats_that_end_in_nul_bytes(spark):
+    from tests.llm.test_queries import removed
+
+    r = random.Random(8)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(40):  # one stem before NULs of several counts, mostly after the same text
+        before, stem = prose(330), prose(r.randint(60, 330))
+        texts += [prose(r.randint(0, 60)) + (before if r.random() < 0.6 else prose(330)) + stem + "\0" * r.randint(0, 80) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {row["doc_id"]: (row["n_removed"], row["n_spans"]) for row in suffix_dedup.remove_repeats(docs, Workspace(spark, "test")).collect()}
+    assert found == {i: (gone, runs) for i, (_, gone, runs, _) in enumerate(removed(texts))}
+
+
+def test_passages_just_below_and_at_the_span(spark):
+    from tests.llm.test_queries import removed
+
+    r = random.Random(9)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts, lost = [], []
+    for n in (330, 394, 399, 400, 401, 460):  # each in two documents, with different characters on both sides
+        for _ in range(10):
+            passage = prose(n)
+            texts += [f"{prose(200)}1{passage}2{prose(200)}", f"{prose(90)}3{passage}4{prose(300)}"]
+            lost += [n if n >= suffix_dedup.SPAN else 0] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {row["doc_id"]: row["n_removed"] for row in suffix_dedup.remove_repeats(docs, Workspace(spark, "test")).collect()}
+    assert [found[i] for i in range(len(texts))] == lost == [gone for _, gone, _, _ in removed(texts)]
+
+
 def test_ids_shared_by_different_texts(spark):
     r = random.Random(1)
     long = "".join(r.choice("abcdefg ") for _ in range(900))
