@@ -22,6 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quern.functions.vectors import add, scale, to_sparse
 from quern.graph import reverse_edges
@@ -165,16 +166,18 @@ def gather(edges: DataFrame, vertices: DataFrame, column: str = "feat", weighted
 
 def _gather_in_parts(edges: DataFrame, entries: DataFrame, parts: int, weighted: bool) -> DataFrame:
     """id, nbrs, unsorted by message. A part's rows come sorted, its vectors first, then its edges by target."""
-    # Vectors of floats that were cast go as floats, which is half of the bytes.
+    # Vectors of floats that were cast go as floats, which is half of the bytes. No list is null: Spark measures a batch
+    # after each row, and goes through all the null lists at its end each time.
     vec, short = F.col("__vec").cast("array<double>"), F.col("__vec").cast("array<float>")
     same = F.coalesce(short.cast("array<double>") == vec, F.lit(False))
-    pair = [F.when(same, short).alias("short"), F.when(~same, vec).alias("vec")]
+    none = {name: F.array().cast(kind) for name, kind in (("short", "array<float>"), ("vec", "array<double>"))}
+    pair = [same.alias("same"), F.when(same, short).otherwise(none["short"]).alias("short"), F.when(same, none["vec"]).otherwise(vec).alias("vec")]
     places = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     given = entries.where("id is not null").select(F.lit(None).cast("long").alias("dst"), F.col("id").cast("long").alias("src"), F.lit(None).cast("double").alias("weight"), *pair)
     given = given.select(places, F.lit(False).alias("edge"), "*")
     place = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int").alias("part")
-    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("short", "array<float>"), ("vec", "array<double>"))]
-    sent = edges.where("src is not null").select(place, F.lit(True).alias("edge"), F.col("dst").cast("long"), F.col("src").cast("long"), F.col("weight").cast("double"), *empty)
+    empty = [F.lit(True).alias("same"), *[column.alias(name) for name, column in none.items()]]
+    sent = edges.select(place, F.lit(True).alias("edge"), F.col("dst").cast("long"), F.col("src").cast("long"), F.col("weight").cast("double"), *empty)
     dealt = given.unionByName(sent).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "edge", "dst", "src")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +194,16 @@ def _gather_in_parts(edges: DataFrame, entries: DataFrame, parts: int, weighted:
                         yield from _lists(held, known, weighted)
                     part, known, fresh, held = of[start], None, [], None
                 if not is_edge[start]:
-                    full = pc.coalesce(rows.column("vec"), rows.column("short").cast(pa.list_(pa.float64())))
-                    fresh.append((rows.column("src").to_numpy(), full))
+                    same = rows.column("same").to_numpy(zero_copy_only=False)
+                    both = pa.concat_arrays([rows.column("short").cast(pa.list_(pa.float64())), rows.column("vec").cast(pa.list_(pa.float64()))])
+                    fresh.append((rows.column("src").to_numpy(), both.take(pa.array(np.where(same, 0, len(same)) + np.arange(len(same))))))
                     continue
                 if known is None:
                     ids = [i for i, _ in fresh] or [np.zeros(0, np.int64)]
                     known = np.concatenate(ids), pa.concat_arrays([v for _, v in fresh] or [pa.array([], pa.list_(pa.float64()))])
                     fresh = []
+                # Here and not by a filter, which would go below the edges and make them anew beside those that degrees are counted of.
+                rows = rows.filter(rows.column("src").is_valid())
                 mine = pa.table([rows.column(c) for c in ("dst", "src", "weight")], ["dst", "src", "weight"])
                 mine = mine if held is None else pa.concat_tables([held, mine]).combine_chunks()
                 # The last target's edges may go on in the next batch.
@@ -271,10 +277,31 @@ def sum_gathered(gathered: DataFrame) -> DataFrame:
     return _array_sum(gathered.select("id", F.explode("nbrs").alias("n")), F.col("n.vec"))
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _listed_sums(vectors: pa.Array) -> pa.Array:
+    """Sums of whole vectors of one width, in the list's order; null for other lists."""
+    lists = vectors.flatten()
+    widths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    null = np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False)) if values.null_count else np.zeros(0, np.int64)
+    values = values.to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(np.maximum(widths, 0), dtype=np.int64))
+    out, i = [], 0
+    for n in pc.list_value_length(vectors).to_pylist():
+        first, last = ends[i], ends[i + (n or 0)]
+        if n is None or n and (widths[i] < 0 or (widths[i : i + n] != widths[i]).any() or np.searchsorted(null, first) < np.searchsorted(null, last)):
+            out.append(None)
+        else:
+            out.append(values[first:last].reshape(n, widths[i]).sum(axis=0) + 0.0 if n else np.zeros(0))
+        i += n or 0
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def sum_listed(vectors: Column) -> Column:
     """Sum of an array of vectors of one width, such as a gathered list that came as JSON; the empty array for none."""
     width = F.size(F.get(vectors, F.lit(0)))
-    return F.when(F.size(vectors) > 0, F.aggregate(vectors, F.array_repeat(F.lit(0.0), width), add)).otherwise(F.array().cast("array<double>"))
+    folded = F.when(F.size(vectors) > 0, F.aggregate(vectors, F.array_repeat(F.lit(0.0), width), add)).otherwise(F.array().cast("array<double>"))
+    return F.coalesce(_listed_sums(vectors.cast("array<array<double>>")), folded)
 
 
 def edge_gradients(edges: DataFrame, edge_grads: DataFrame, weighted: bool = True) -> DataFrame:

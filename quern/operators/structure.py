@@ -57,10 +57,14 @@ def labelled_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _with_degree(edges: DataFrame, degree: DataFrame, key: str, other: str, salts: int) -> DataFrame:
-    """Join a degree onto edges at one end. A hub's edges are dealt out by their other end, and its degree, one number, goes along."""
+    """Join a degree onto edges at one end. A hub's edges are dealt out by their other end, and its degree, one number, goes along.
+
+    A plain equality would put a filter of nulls below the degree's edges, and edges that are distinct rows be made anew for each end.
+    """
     salted = edges.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
-    copies = degree.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    value = [F.when(F.col(key).isNotNull(), F.col(c)).alias(c) for c in degree.columns if c != key]
+    copies = degree.select(F.col(key).alias("__key"), *value, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__copy"))
+    return salted.join(copies, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__copy")), "left").drop("__salt", "__key", "__copy")
 
 
 def normalise(edges: DataFrame, norm: str = "symmetric", degree_convention: str = "forward", salts: int = 8) -> DataFrame:

@@ -281,7 +281,7 @@ def sum_listed_json(spark, d):
     line = gather(g.edges, g.vertices, parts=_gather_parts(spark)).select(codecs.encode_json_gather(F.col("id"), F.col("nbrs")).alias("line"))
     back = line.select(codecs.decode_json_gather(F.col("line")).alias("r"))
     # An inner explode infers a filter on its array, which is pushed below the codecs and decodes each line again.
-    sums = back.select("r.id", sum_listed(F.transform("r.nbrs", lambda n: n["vec"])).alias("vec"))
+    sums = back.select("r.id", sum_listed(F.col("r.nbrs.vec")).alias("vec"))
     return rounded(sums.select("id", F.posexplode_outer("vec").alias("pos", "val")).where("pos is not null"))
 
 

@@ -76,6 +76,25 @@ def test_gathered_messages_arent_shuffled(spark):
         assert "MapInArrow" in plan and "collect_list" not in plan
 
 
+def test_distinct_edges_are_made_once(spark):
+    """The degrees at both ends and the messages read one exchange; ends that are null count as vertices of degree one."""
+    from quern.plans import catalogue
+
+    found = catalogue.queries()["sum_listed"](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and plan.count("ReusedExchange") == 2
+    e = edges_of(spark, [(None, 1, 0.0), (None, 2, 0.0), (1, None, 0.0), (0, 1, 0.0)])
+    got = {(r["src"], r["dst"]): round(r["weight"], 9) for r in structure.normalise(e).collect()}
+    assert got == {(None, 1): round(0.5**0.5, 9), (None, 2): 1.0, (1, None): 1.0, (0, 1): round(0.5**0.5, 9)}
+
+
+def test_no_null_lists_are_sent_to_gather(spark):
+    """Spark goes through the null lists at a batch's end after each row."""
+    plan = pr.gather(edges_of(spark, [(1, 2, 1.0)]), feats_of(spark, [(1, [1.0])]), parts=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS short" in plan and "null AS short" not in plan and "null AS vec" not in plan
+
+
 @pytest.mark.parametrize("plan", pr.PLANS)
 def test_hubs_are_dealt_out(spark, monkeypatch, plan):
     monkeypatch.setattr(pr, "COPIES", 4)
@@ -268,6 +287,38 @@ def test_sum_of_a_list_of_vectors(spark):
     assert [r["s"] for r in rows.select(pr.sum_listed(F.col("n")).alias("s")).collect()] == [[4.0, 6.0], []]
 
 
+def test_sums_of_odd_lists(spark):
+    """Lists of one width are summed in Python, others by Spark: null where a vector is short or an entry null, null for null vectors."""
+    lists = [[[1.0, None], [2.0, 3.0]], [[1.0], [2.0, 3.0]], [None, [1.0]], [[1.0], None], [[], []], None, [[-0.0]], [[0.1, 1.0]] * 3]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, n array<array<double>>").coalesce(1)
+    got = [r["s"] for r in rows.select("i", pr.sum_listed(F.col("n")).alias("s")).orderBy("i").collect()]
+    assert got == [[3.0, None], [3.0, None], None, None, [], [], [0.0], [0.1 + 0.1 + 0.1, 3.0]] and str(got[6]) == "[0.0]"
+
+
+def test_json_gather_codec(spark, monkeypatch):
+    """What is written is read back whole, in one piece or several; plain lines in columns, others by Spark's JSON reader."""
+    nan, inf, most = float("nan"), float("inf"), (1 << 63) - 1
+    nbrs = [[(2, [0.1, -0.0, 1e-320, 1e300]), (3, [])], [], None, [(4, [])], [(i, [i / 7, i * 1e9, 1e16 + i]) for i in range(500)], [(None, [1.0]), (5, None), None, (6, [2.0])]]
+    others = [[(7, [None, nan, inf, -inf])], [(most, [1.0])]]
+    rows = spark.createDataFrame(list(enumerate(nbrs + others)), "id long, nbrs array<struct<u:long,vec:array<double>>>").coalesce(1)
+    lines = rows.select("id", codecs.encode_json_gather(F.col("id"), F.col("nbrs")).alias("line"))
+    found = lines.select("*", codecs.decode_json_gather(F.col("line")).alias("r"), codecs._plain_gather(F.col("line"))["left"].alias("left")).orderBy("id").collect()
+    want = [*nbrs[:2], None, *nbrs[3:5], [(6, [2.0])], *others]
+    assert str([None if r["r"]["nbrs"] is None else [tuple(n) for n in r["r"]["nbrs"]] for r in found]) == str(want)
+    assert [r["id"] for r in found if r["left"]] == [6, 7] and found[2]["line"] is None
+    assert found[0]["line"].startswith("[0,[[2,[0.1,-0.0,") and found[6]["line"] == '[6,[[7,[null,"NaN","Infinity","-Infinity"]]]]'
+    texts = [" [1, [[2, [1.5, 2]]]] ", "[1,[[2,[1.5,2]]]]", "[1,[[2,[-0,01]]]]", "[1,[[2,null]]]", "[1,[[2,[1E5,-0]]]]", "x"]
+    read = [r["r"] for r in spark.createDataFrame([(t,) for t in texts], "line string").select(codecs.decode_json_gather(F.col("line")).alias("r")).collect()]
+    assert str([(r["id"], r["nbrs"] and [tuple(n) for n in r["nbrs"]]) for r in read]) == str([(1, [(2, [1.5, 2.0])])] * 2 + [(None, None), (1, [(2, None)]), (1, [(2, [1e5, 0.0])]), (None, None)])
+    # In several pieces, here in this process.
+    batch = rows.toArrow()
+    monkeypatch.setattr(codecs, "PIECE_NUMBERS", 40)
+    monkeypatch.setattr(codecs, "PIECE_BYTES", 300)
+    again = codecs._gather_lines.func(batch.column("id").cast("string").combine_chunks(), batch.column("nbrs").combine_chunks())
+    assert again.to_pylist() == [r["line"] for r in found]
+    assert [x and x["id"] for x in codecs._plain_gather.func(again).field("read").to_pylist()] == [0, 1, None, 3, 4, 5, None, None]
+
+
 def test_empty_accuracy_is_zero(spark):
     rows = spark.createDataFrame([], "logits array<double>, label int")
     assert tuple(metrics.accuracy(rows).first()) == (0, 0, 0.0)
